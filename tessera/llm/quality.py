@@ -30,7 +30,7 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "other")
 
 MIN_CHARS, MIN_COUNTED = 200, 50
 MIN_REFERENCE_CHARS = 10_000
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.6
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.3
 
 
 def _removed(text: Column, pattern: str) -> Column:
