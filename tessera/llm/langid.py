@@ -203,6 +203,18 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) ->
     return train([t for t, _ in pairs], [v for _, v in pairs], epochs) if pairs else None
 
 
+def answers(net: ByteNet | None, texts: list[str | None]):
+    """(place, language, score) of each text that has a letter; some MB of text go through the net at a time."""
+    chunk, size = [], 0
+    for k, t in enumerate([*texts, None]):
+        if net and t and has_letter(t):
+            chunk.append((k, t.encode()))
+            size += len(t)
+        if chunk and (size > 2_000_000 or k == len(texts)):
+            yield from zip([at for at, _ in chunk], *net.predict([b for _, b in chunk]))
+            chunk, size = [], 0
+
+
 def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
     """The language of every whole text: `und` and 0 for null, for a text without a letter, without a model."""
     spark = docs.sparkSession
@@ -210,19 +222,29 @@ def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
     spread = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        net = spread.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            chunk, size = [], 0
-            for k, t in enumerate([*texts, None]):
-                if net and t and has_letter(t):
-                    chunk.append((k, t.encode()))
-                    size += len(t)
-                if chunk and (size > 4_000_000 or k == len(texts)):
-                    for (at, _), lang, score in zip(chunk, *net.predict([b for _, b in chunk])):
-                        langs[at], scores[at] = lang, score
-                    chunk, size = [], 0
+            langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            for k, lang, score in answers(spread.value, batch.column(1).to_pylist()):
+                langs[k], scores[k] = lang, score
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
+
+
+def keep(docs: DataFrame, model: ByteNet | None, min_score: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose language is told: not `und`, with a score of at least `min_score`."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    spread = spark.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            good = []
+            for k, lang, score in answers(spread.value, texts):
+                if lang != UNKNOWN and score >= min_score:
+                    good.append(k)
+            yield batch.take(pa.array(sorted(good), pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

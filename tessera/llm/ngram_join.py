@@ -258,3 +258,12 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     least = named.groupBy("root").agg(F.min("doc").alias("component"))
     labels = named.join(least, "root").select("node", "component")
     return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
+    """One document of each component, that of the smallest id, with all columns.
+
+    doc_id identifies a document: of rows that repeat it one stays, rows without an id count as one.
+    """
+    kept = components(docs, length).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
