@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but these. ``bytes.split()`` splits at exactly these bytes.
 SPACE = " \t\n\x0b\x0c\r"
@@ -76,6 +77,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most `limit` rows in order of a hash of the keys, which should tell rows apart.
+
+    A threshold on the hash comes first, so that tasks together send some 1.5 * limit rows to the driver
+    however many there are; a sample may fall short of the limit by chance, hardly ever by much.
+    """
+    total, hashed = rows.count(), F.xxhash64(*keys)
+    if total > 2 * limit:
+        rows = rows.where(F.pmod(hashed, F.lit(1 << 31)) < int((1 << 31) * 1.5 * limit / total))
+    return rows.orderBy(hashed, *keys).limit(limit)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a URI; works on executors and on the driver."""
     from pyarrow import fs

@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded_sample, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,13 +106,13 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
-    """Trains on labelled URLs (columns url, label 0 or 1), at most `train_rows` of them in order of a hash.
+    """Trains on distinct labelled URLs (columns url, label 0 or 1), at most `train_rows` in order of a hash.
 
     Rows with a null url or label don't count. Without rows, or with labels of one kind, every score is
     that of the prior.
     """
-    rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label"))
-    sample = materialize(lexical(rows.orderBy(F.xxhash64("url"), "url", "label").limit(train_rows)), "urls")
+    rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label")).distinct()
+    sample = materialize(lexical(bounded_sample(rows, train_rows, "url", "label")), "urls")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     rate = (positive + 0.5) / (n + 1)
     prior = math.log(rate / (1 - rate))

@@ -58,22 +58,24 @@ class ZipDirectory:
             raise ValueError("no end record: not a ZIP file, or cut off")
         _, _, _, count, length, start, _ = struct.unpack_from("<HHHHIIH", tail, at + 4)
         end = tail_at + at
-        if 0xFFFF == count or 0xFFFFFFFF in (length, start):
-            count, length, start, end = self._zip64(end, count, length, start)
+        count, length, start, end = self._zip64(end, count, length, start)
         shift = end - length - start  # bytes before the first member, as in self-extracting files
         if shift < 0:
             raise ValueError("central directory out of place")
         self.members = {m.name: m for m in self._central(read(start + shift, length), count, shift)}
 
     def _zip64(self, end: int, count: int, length: int, start: int) -> tuple[int, int, int, int]:
+        """The ZIP64 record's values where there is one before the end record, and where the directory ends."""
         locator = self.read(end - 20, 20) if end >= 20 else b""
         if locator[:4] != b"PK\x06\x07":
-            return count, length, start, end  # the values are just these
+            if 0xFFFFFFFF in (length, start):
+                raise ValueError("ZIP64 locator missing")
+            return count, length, start, end
         at = struct.unpack_from("<Q", locator, 8)[0]
-        record = self.read(at, 56)
+        record = self.read(at, 56) if at + 56 <= end else b""
         if record[:4] != b"PK\x06\x06":
             at = end - 20 - 56
-            record = self.read(at, 56)
+            record = self.read(at, 56) if at >= 0 else b""
             if record[:4] != b"PK\x06\x06":
                 raise ValueError("ZIP64 end record out of place")
         count, length, start = struct.unpack_from("<QQQ", record, 32)
