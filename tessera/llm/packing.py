@@ -73,7 +73,7 @@ def cut(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, en
         encoder = tokens.worker_encoder(source.value, end_id)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc, data in zip(ids, encoder.encode(batch.column(1).to_pylist())):
+            for doc, data in zip(ids, encoder.encode(batch.column(1))):
                 total = len(data) // 4
                 for k, start in enumerate(range(0, total, length)):
                     part = data[4 * start : 4 * (start + length)]

@@ -1,24 +1,28 @@
 """Token ids of whole texts with a public tokenizer, from a cache of words.
 
-The tokenizer drops white space and never joins pieces across it, so a text's ids are those of its
-space-separated words one after another. Each worker keeps the ids of words it has seen; the library
-encodes only new words. `tests/llm/test_tokens.py` holds this against encoding whole texts.
+The tokenizer lower-cases, drops white space and never joins pieces across it, so a text's ids are those
+of its words one after another. Texts are split and their distinct words found by Arrow's kernels, ids
+of words are looked up or, where new, encoded by the library, and ids of texts gathered in numpy.
+`tests/llm/test_tokens.py` holds this against encoding whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from tessera.llm.common import ship_code
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 8_000_000
-CHUNK_CHARS = 2_000_000
+CHUNK_BYTES = 4_000_000
+GROUP = 2_000  # words given to the library at a time
 
 _encoders: dict[int, "WordEncoder"] = {}
 
@@ -43,32 +47,57 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {"": b""}
         self.chars = 0
 
-    def learn(self, words: list[str]) -> None:
-        for word, encoding in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.cache[word] = np.array(encoding.ids, "<u4").tobytes()
-            self.chars += len(word)
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text (null: empty) and the end id. Memory follows CHUNK_CHARS and the longest text."""
-        chunk, size = [], 0
-        for text in texts:
-            chunk.append(text or "")
-            size += len(chunk[-1])
-            if size >= CHUNK_CHARS:
-                yield from self._chunk(chunk)
-                chunk, size = [], 0
-        yield from self._chunk(chunk)
-
-    def _chunk(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+    def learn(self, new: list[str]) -> None:
+        """Caches the ids of words. A word of letters is one piece to the tokenizer, so many of them are
+        encoded as one text, told apart by the number of the piece; others go one by one."""
+        plain, odd = [], []
+        for word in new:
+            (plain if word.isalpha() and (word.isascii() or word.lower().isalpha()) else odd).append(word)
+        for k in range(0, len(plain), GROUP):
+            group = plain[k : k + GROUP]
+            encoding = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(len(group)), "right")).tolist()
+            self.cache.update(zip(group, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        for k in range(0, len(odd), GROUP):
+            group = odd[k : k + GROUP]
+            for word, encoding in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
+                self.cache[word] = np.array(encoding.ids, "<u4").tobytes()
+        self.chars += sum(map(len, new))
+
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> Iterator[bytes]:
+        """The ids of each text (null: none) and the end id. Memory follows CHUNK_BYTES and the longest text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        chunk = np.cumsum(sizes) // CHUNK_BYTES
+        edges = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1)) if len(chunk) else []
+        for a, b in zip(edges, edges[1:]):
+            yield from self._chunk(texts.slice(a, b - a))
+
+    def _chunk(self, texts: pa.Array) -> Iterator[bytes]:
+        plain = pc.ascii_lower(texts.fill_null(""))
+        # A mark between a letter and white space is a piece of its own.
+        plain = pc.replace_substring_regex(plain, r"([a-z])([.,;:!?])([ \n])", r"\1 \2\3")
+        plain = pc.replace_substring(plain, "\n", " ")
+        split = pc.split_pattern(plain, " ")
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        distinct = words.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.cache, self.chars = {"": b""}, 0
-        new = set().union(*split).difference(self.cache)
-        if new:
-            self.learn(list(new))
-        ids = self.cache.__getitem__
-        for words in split:
-            yield b"".join(map(ids, words)) + self.end
+        self.learn([w for w in distinct if w not in self.cache])
+        ids = list(map(self.cache.__getitem__, distinct))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(length) - length
+        each = length[at]
+        stop = np.cumsum(each)
+        total = int(stop[-1]) if len(stop) else 0
+        gathered = flat[np.repeat(begin[at] - (stop - each), each) + np.arange(total)].tobytes()
+        edges = np.concatenate([[0], stop])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield gathered[a:b] + self.end
 
 
 def definition(spark: SparkSession, path: str | None = None):
