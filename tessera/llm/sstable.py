@@ -224,7 +224,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 if writer is None:
                     name = f"part-{part:06d}-{number:04d}.sst"
                     sink = fs.open_output_stream(f"{root}/.{name}.{attempt}")
