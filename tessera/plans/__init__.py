@@ -1 +1 @@
-
+"""Plans, reports and the registered queries."""

@@ -1,6 +1,6 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import metric_queries, rate_queries, retrieval_queries, vq_queries  # noqa: F401  (they register themselves)
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
