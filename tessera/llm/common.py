@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, intermediate tables, shipping of code."""
+"""What the operators of this subpackage share: the shared folder, intermediate tables, samples."""
 
 from __future__ import annotations
 
@@ -6,36 +6,19 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship_code  # noqa: F401  (for the modules of this subpackage)
+
 #: Words of the contracts: runs of anything but these. ``bytes.split()`` splits at exactly these bytes.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Lets executors import this package even where it isn't installed on them."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp()), "tessera.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
