@@ -133,4 +133,4 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: floa
     )
     far = lambda d, own, least, limit, ref: (total(F.col(own)) >= least) & (total(F.col(ref)) >= MIN_REFERENCE_CHARS // (1 if own == "classes" else 10)) & F.coalesce(F.col(d) > limit, F.lit(False))
     bad = far("class_distance", "classes", min_chars, max_class, "ref_classes") | far("word_distance", "common", min_counted, max_word, "ref_common")
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), "class_distance", "word_distance")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"))
