@@ -74,6 +74,16 @@ def firsts(keys: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return perm, begin[group] if len(keys) else perm, np.bincount(group)[group] if len(keys) else perm
 
 
+def by_place(perm: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Columns in sorted order, put back in the order of places: neighbours then compress well."""
+    out = []
+    for column in columns:
+        back = np.empty_like(column)
+        back[perm] = column
+        out.append(back)
+    return out
+
+
 def _scatter(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Keys of rows that are settled already: spread evenly, equal to no other by more than chance."""
     return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
@@ -97,8 +107,9 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
                 doc = ids[c.doc[at]]
                 perm, first, count = firsts(c.halves[at], doc, pos)
                 lead = first == np.arange(len(perm))
-                keys = np.where(lead, c.halves[at][perm], _scatter(doc[perm], pos[perm] + 7))
-                out = [keys, doc[perm], pos[perm], np.where(count > 1, 2, 1)]
+                lead, count = by_place(perm, lead, count)
+                keys = np.where(lead, c.halves[at], _scatter(doc, pos + 7))
+                out = [keys, doc, pos, np.where(count > 1, 2, 1)]
                 # whole documents
                 long = np.flatnonzero(c.sizes >= length)
                 sums = np.array([int(window_hashes_of(c.words[c.starts[k] : c.starts[k + 1]])) for k in long], np.uint64)
@@ -130,7 +141,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3)))
-            rows = [(d, h, t, np.asarray(p.values) if p.is_valid else None) for d, h, t, p in rows]
+            rows = [(d, h, t, np.asarray(p.values)) for d, h, t, p in rows if p.is_valid]
             for group in chunks(rows, lambda r: len(r[2])):
                 yield from one(group)
 
@@ -159,7 +170,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             own, where = ids[perm], pos[perm]
             later = (own != own[first]) | (where != where[first]) if len(perm) else np.zeros(0, bool)
             lead = ~later & ((first == np.arange(len(perm))) | (hashes[perm] != hashes[perm][first]))
-            add(keys[perm][lead], own[lead], hashes[perm][lead], where[lead], np.full(int(lead.sum()), -1))
+            (lead,) = by_place(perm, lead)
+            add(keys[lead], ids[lead], hashes[lead], pos[lead], np.full(int(lead.sum()), -1))
             # windows settled here, as spans
             mark = np.sort(at[perm[later]])
             if len(mark):
@@ -172,7 +184,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(stop.astype(np.int32), pa.int32())], names=["key", "doc_id", "text_hash", "pos", "stop"])
 
     by_doc = marks(docs, length).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("marks"))
-    joined = docs.join(by_doc, "doc_id").select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), "marks")
+    # Not an inner join: so this join and that in dedup() share one shuffle of the texts.
+    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), "marks")
     found = joined.mapInArrow(run, WINDOWS)
     first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("key"))
     judged = found.withColumn("first", first).where((F.col("stop") >= 0) | (F.struct("doc_id", "pos") > F.col("first")))
@@ -194,19 +207,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
         raise ValueError("length must be even, 2 or more")
     ship_code(docs.sparkSession)
     rows = _rows(docs)
-    spans = repeats(rows, length).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    joined = rows.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", F.col("text").cast("binary").alias("raw"), "spans.start", "spans.stop")
+    spans = repeats(rows, length).groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("start", "stop", "text_hash")])
+    joined = rows.join(spans.withColumnRenamed("text_hash", "of"), "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("raw"), "text_hash", "start", "stop", "of")
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, starts, stops in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for text, text_hash, starts, stops, of in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), *batch.columns[3:]):
                 words = text.split()
                 kept = words
                 if starts.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.asarray(starts.values), 1)
-                    np.add.at(edge, np.asarray(stops.values), -1)
+                    own = np.asarray(of.values) == text_hash
+                    np.add.at(edge, np.asarray(starts.values)[own], 1)
+                    np.add.at(edge, np.asarray(stops.values)[own], -1)
                     kept = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 joined = b" ".join(kept)
                 for column, x in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None)):
