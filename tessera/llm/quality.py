@@ -28,9 +28,9 @@ COMMON_WORDS = (
 WORDS = tuple(dict.fromkeys(" ".join(COMMON_WORDS).split()))
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "other")
 
-MIN_CHARS, MIN_COUNTED = 200, 50
+MIN_CHARS, MIN_COUNTED = 200, 100
 MIN_REFERENCE_CHARS = 10_000
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.3
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.26
 
 
 def _removed(text: Column, pattern: str) -> Column:
