@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship_code
+from tessera.llm.common import bounded_sample, ship_code
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -185,15 +185,15 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> ByteNet | None:
     """Trains on at most `train_rows` labelled rows outside of the held-out fold, two windows of each.
 
-    Rows are taken in order of a hash of text; only their windows come to the driver (1 KB a row).
+    Rows are taken in order of a hash of id, label and first window; only their windows come to the driver (1 KB a row).
     None where no row has a label and text.
     """
     raw = F.col("text").cast("string").cast("binary")
     middle = F.greatest(F.lit(1), F.floor(F.octet_length("text") / 2) - WINDOW // 2).cast("int")
     rows = docs.where(~held_out()).where("text IS NOT NULL AND lang IS NOT NULL AND octet_length(text) > 0").select(
-        F.col("lang").cast("string").alias("lang"), F.substring(raw, 1, WINDOW).alias("a"), raw.substr(middle, F.lit(WINDOW)).alias("b"), F.xxhash64("text").alias("h")
+        "doc_id", F.col("lang").cast("string").alias("lang"), F.substring(raw, 1, WINDOW).alias("a"), raw.substr(middle, F.lit(WINDOW)).alias("b")
     )
-    found = rows.orderBy("h", "lang").limit(train_rows).collect()
+    found = bounded_sample(rows, train_rows, "doc_id", "lang", "a").collect()
     texts, labels = [], []
     for r in found:
         for t in {bytes(r.a), bytes(r.b)}:
