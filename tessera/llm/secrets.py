@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship_code
+from tessera.llm.common import bounded_sample, ship_code
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_each: int = TRAIN_E
     ship_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hinted = reduce(or_, [F.col("text").contains(h) for h in HINTS])
-    chosen = rows.where(hinted & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    chosen = bounded_sample(rows.where(hinted & F.col("doc_id").isNotNull()).select("doc_id").distinct(), train_docs, "doc_id")
 
     def tokens(batches):
         for batch in batches:
