@@ -98,6 +98,24 @@ def encode_streams(labels: DataFrame, pmf: DataFrame, precision: int = PRECISION
     return labels.select("stream_id", "g", "n", "label").groupBy("stream_id", "g").applyInPandas(run, "stream_id long, g int, payload binary")
 
 
+def softmax_prior(logits: DataFrame) -> DataFrame:
+    """(g, label, p, log2_p) of learned logits (g, label, logit)."""
+    group = Window.partitionBy("g")
+    e = F.exp(F.col("logit") - F.max("logit").over(group))
+    return logits.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(group)).select("g", "label", "p", F.log2("p").alias("log2_p"))
+
+
+def uniform_pmf(groups: DataFrame, symbols: int) -> DataFrame:
+    """(g, label, p): 1 / symbols each."""
+    return groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(symbols - 1))).alias("label")).withColumn("p", F.lit(1.0 / symbols))
+
+
+def cumulative(pmf: DataFrame) -> DataFrame:
+    """Adds `cdf`, the mass up to and with each label, at most 1; a label's start is the cdf before it, 0 at first."""
+    order = Window.partitionBy("g").orderBy("label").rowsBetween(Window.unboundedPreceding, 0)
+    return pmf.withColumn("cdf", F.least(F.sum("p").over(order), F.lit(1.0)))
+
+
 def uniform_bits(labels: int, symbols: int) -> float:
     """Bits of labels under the uniform model."""
     return labels * float(np.log2(symbols))

@@ -160,3 +160,27 @@ def record_mean(rows: DataFrame, names, strict: bool = False) -> DataFrame:
 def cross_entropy(log_probability: Column, weight: Column | None = None) -> Column:
     """Mean loss of valid rows, weighted by class where weights are given."""
     return -F.avg(log_probability) if weight is None else -F.sum(log_probability * weight) / F.sum(weight)
+
+
+def scale_invariant_log(pred: Column, gt: Column, weight: float = 0.5) -> Column:
+    """sqrt(mean(d^2) - weight * mean(d)^2) of log differences."""
+    d = F.log(pred) - F.log(gt)
+    return F.sqrt(F.greatest(F.avg(d * d) - weight * F.avg(d) * F.avg(d), F.lit(0.0)))
+
+
+def masked_l1(pred: Column, gt: Column, valid: Column) -> Column:
+    """Mean absolute difference of valid rows; 0 without any."""
+    return F.coalesce(F.avg(F.when(valid, F.abs(pred - gt))), F.lit(0.0))
+
+
+def per_metric_mean(rows: DataFrame, names) -> DataFrame:
+    """Mean of each metric over the samples that have it, and how many have."""
+    return rows.agg(*[x for n in names for x in (F.avg(n).alias(n), F.count(n).alias(f"{n}_count"))])
+
+
+def balanced_weights(rows: DataFrame, label: str, classes: int) -> DataFrame:
+    """(label, weight): inverse frequencies, with a mean weight of 1 over rows; absent classes have 0."""
+    counts = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"), F.count_distinct(label).alias("seen"))
+    grid = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"))
+    return grid.join(counts, "label", "left").crossJoin(F.broadcast(total)).select("label", F.coalesce(F.col("total") / (F.col("seen") * F.col("n")), F.lit(0.0)).alias("weight"))

@@ -80,6 +80,18 @@ def smoothed_prior(labels: DataFrame, symbols: int) -> DataFrame:
     return pmf.join(total, "g").select("g", "label", ((F.col("n") + 1) / (F.col("total") + symbols)).alias("p"))
 
 
+def mixed_prior(pmf: DataFrame, floor: float, symbols: int) -> DataFrame:
+    """A prior with a share `floor` of the uniform one mixed in, and the rate of each label in bits."""
+    p = (1 - floor) * F.col("p") + floor / symbols
+    return pmf.withColumn("p", p).withColumn("rate", -F.log2("p"))
+
+
+def padded_rows(vectors: DataFrame, width: int, vec: str = "vec") -> DataFrame:
+    """Vectors filled up with zeros to a multiple of `width`."""
+    short = F.pmod(-F.size(vec), F.lit(width))
+    return vectors.withColumn(vec, F.concat(F.transform(vec, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), short)))
+
+
 def perplexity(pmf: DataFrame) -> DataFrame:
     """Mean over groups of exp(entropy), and the number of words never used."""
     each = pmf.groupBy("g").agg(F.exp(-F.sum(F.col("p") * F.log(F.col("p") + 1e-10))).alias("e"), F.sum((F.col("n") == 0).cast("int")).alias("dead"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import shapes, text
-from tessera.operators import detection, geometry, metrics, relational, retrieval
+from tessera.operators import container, detection, distribution, entropy, geometry, metrics, probe, relational, retrieval, tiles
 from tessera.plans import report
 from tessera.plans.registry import query, sql_distance, table
 from tessera.plans.retrieval_queries import _sides
@@ -204,6 +204,70 @@ def weighted_cross_entropy(spark, sf_dir):
     return rows.groupBy("o_orderpriority").agg(F.round(metrics.cross_entropy(F.log(F.col("o_totalprice") / 600000), weight), 6).alias("loss"))
 
 
+@query("SELECT l_returnflag, round(sqrt(greatest(avg(d * d) - 0.5::DOUBLE * avg(d) * avg(d), 0)), 6) AS silog, round(coalesce(avg(CASE WHEN g > 5 THEN abs(p - g) END), 0), 6) AS l1 FROM (SELECT l_returnflag, l_quantity AS g, l_extendedprice / 2000 AS p, ln(l_extendedprice / 2000) - ln(l_quantity) AS d FROM lineitem) GROUP BY 1")
+def loss_values(spark, sf_dir):
+    p, g = F.col("l_extendedprice") / 2000, F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(metrics.scale_invariant_log(p, g), 6).alias("silog"), F.round(metrics.masked_l1(p, g, g > 5), 6).alias("l1"))
+
+
+@query("SELECT r::INTEGER AS label, round(coalesce((SELECT count(*) FROM embeddings) / ((SELECT count(DISTINCT label) FROM embeddings) * n), 0), 9) AS weight FROM range(12) t(r) LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c ON c.label = r")
+def balanced_weights(spark, sf_dir):
+    return metrics.balanced_weights(table(spark, sf_dir, "embeddings"), "label", 12).select("label", F.round("weight", 9).alias("weight"))
+
+
+@query("SELECT round(avg(CASE WHEN event_type <> 'view' THEN value END), 6) AS a, count(CASE WHEN event_type <> 'view' THEN value END) AS a_count, round(avg(CASE WHEN event_type = 'error' THEN value END), 6) AS b, count(CASE WHEN event_type = 'error' THEN value END) AS b_count FROM events")
+def per_metric_mean(spark, sf_dir):
+    t, v = F.col("event_type"), F.col("value")
+    rows = table(spark, sf_dir, "events").select(F.when(t != "view", v).alias("a"), F.when(t == "error", v).alias("b"))
+    found = metrics.per_metric_mean(rows, ["a", "b"])
+    return found.select(F.round("a", 6).alias("a"), "a_count", F.round("b", 6).alias("b"), "b_count")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS least, max(o_totalprice) AS largest FROM orders WHERE o_orderkey % 4 IN (0, 2) GROUP BY 1")
+def value_ranges(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_orderkey") % 4 / 4).alias("rho"), F.col("o_totalprice").alias("value"))
+    return report.value_ranges(rows, ["o_orderpriority"], [0.0, 0.5])
+
+
+@query("SELECT graph_id, label, round(p, 9) AS p, round(log2(p), 9) AS log2_p, round(least(sum(p) OVER (PARTITION BY graph_id ORDER BY label), 1), 9) AS cdf FROM (SELECT graph_id, label, exp(l) / sum(exp(l)) OVER (PARTITION BY graph_id) AS p FROM (SELECT n_regionkey AS graph_id, n_nationkey AS label, n_nationkey / 10.0::DOUBLE AS l FROM nation))")
+def softmax_prior(spark, sf_dir):
+    logits = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("label"), (F.col("n_nationkey") / 10).alias("logit"))
+    found = entropy.cumulative(entropy.softmax_prior(logits))
+    return found.select(F.col("g").alias("graph_id"), "label", *[F.round(c, 9).alias(c) for c in ("p", "log2_p", "cdf")])
+
+
+@query()
+def feature_distance(spark, sf_dir):
+    """Frechet distance of the vectors of even and odd labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = distribution.feature_distance(rows.where("label % 2 = 0"), rows.where("label % 2 = 1"), 64, "embedding")
+    return spark.createDataFrame([(round(found, 6),)], "distance double")
+
+
+@query("SELECT user_id, count(*) AS pictures, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum((frame_idx % 12 = 0)::INTEGER) AS BIGINT) AS intra FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events) GROUP BY user_id")
+def container_round_trip(spark, sf_dir):
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("sequence"), frame.alias("frame_idx"), F.col("props").cast("binary").alias("payload"), F.length("event_type").alias("h"), F.lit(16).alias("w"))
+    coded = frames.withColumns({"kind": F.when(F.col("frame_idx") % 12 == 0, "I").otherwise("P"), "qp": F.lit(30)})
+    found = container.pictures(container.sequences(coded))
+    return found.groupBy(F.col("sequence").alias("user_id")).agg(F.count("*").alias("pictures"), F.sum("bytes").cast("long").alias("bytes"), F.sum((F.col("kind") == "I").cast("int")).cast("long").alias("intra"))
+
+
+@query("SELECT user_id, CAST(ceil(count(*) * 7 / 8) AS BIGINT) AS bytes, TRUE AS round_trip FROM events GROUP BY user_id")
+def index_stream_bytes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))), lambda s: s["k"]).alias("labels"))
+    coded = rows.withColumn("payload", tiles.packed_indices(F.col("labels"), 100))
+    back = tiles.unpacked_indices(F.col("payload"), F.size("labels"), 100)
+    return coded.select("user_id", F.octet_length("payload").cast("long").alias("bytes"), (back == F.col("labels")).alias("round_trip"))
+
+
+@query()
+def logistic_probe(spark, sf_dir):
+    """Accuracy of linear probes on the vectors, a fifth of them held out."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    return probe.logistic_probe(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), (0.01,), 10)
+
+
 # Boxes
 
 

@@ -95,3 +95,41 @@ def row_text(values: Sequence[Column], formats: Sequence[str]) -> Column:
 def nested_hash(value: Column) -> Column:
     """SHA-256 of a value's JSON."""
     return F.sha2(F.to_json(value), 256)
+
+
+def codec_keys_last(keys: Sequence[str], codec: Sequence[str] = ("bpp", "bpfp", "total_enc_time", "total_dec_time")) -> list[str]:
+    """Metrics first, then what the codec measures, each in the order given."""
+    is_codec = lambda k: k in codec or k.startswith("bpp_")
+    return [k for k in keys if not is_codec(k)] + [k for k in keys if is_codec(k)]
+
+
+def value_ranges(rows: DataFrame, keys: Sequence[str], rho: Sequence[float]) -> DataFrame:
+    """(keys, n, least, largest) of `value` over rows whose `rho` is one of those given."""
+    kept = rows.where(F.round("rho", 9).isin(*[round(r, 9) for r in rho]))
+    return kept.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("largest"))
+
+
+def sections(text: str) -> dict[str, list[dict[str, str]]]:
+    """Rows of a CSV in blocks: a line of one cell names a block, the next is its header; blank lines end it."""
+    import csv
+    import io
+
+    out: dict[str, list[dict[str, str]]] = {}
+    name, header = "", None
+    for cells in csv.reader(io.StringIO(text)):
+        cells = [c.strip() for c in cells]
+        if not any(cells):
+            name, header = "", None
+        elif not name:
+            name = cells[0]
+            out[name] = []
+        elif header is None:
+            header = cells
+        else:
+            out[name].append(dict(zip(header, cells)))
+    return out
+
+
+def elapsed_split(seconds: Column) -> tuple[Column, Column]:
+    """Encoding and decoding time where only their sum is known: half each, an estimate."""
+    return seconds / 2, seconds / 2
