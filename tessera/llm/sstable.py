@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import file_system, materialize, scratch
+from tessera.llm.common import file_system, scratch
 
 MAGIC = b"TSST0001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index place, length; filter place, length; entries; ids; crc of index and filter
@@ -238,7 +238,8 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names=["part", "shard", "path", "entries", "ids", "bytes"])
 
-    return materialize(rows.mapInArrow(shards, MANIFEST), "manifest")
+    done = rows.mapInArrow(shards, MANIFEST).collect()  # a row for each shard, not for each document
+    return spark.createDataFrame(done, MANIFEST)
 
 
 def read(manifest: DataFrame) -> DataFrame:

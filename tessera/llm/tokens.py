@@ -74,7 +74,6 @@ class WordEncoder:
         edges = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1)) if len(chunk) else []
         for a, b in zip(edges, edges[1:]):
             yield from self._chunk(texts.slice(a, b - a))
-
     def _chunk(self, texts: pa.Array) -> Iterator[bytes]:
         plain = pc.ascii_lower(texts.fill_null(""))
         # A mark between a letter and white space is a piece of its own.
