@@ -195,8 +195,8 @@ class ShardReader:
 def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end_id: int = tokens.END_ID, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Tokenizes every document and writes shards in ascending doc_id order; returns the manifest.
 
-    Documents are dealt out by range of doc_id; each task writes its shards under a temporary name and
-    renames them, so a repeated task leaves the same files. Null text: the end id alone; a null doc_id
+    Documents are dealt out by range of doc_id. Each attempt of a task writes shards of its own names, and
+    only those of the successful one are in the manifest. Null text: the end id alone; a null doc_id
     comes first; repeated rows all stay, in order of text; an empty table gives no shards.
     """
     spark = docs.sparkSession
@@ -217,7 +217,6 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         def end():
             size = writer.close()
             sink.close()
-            fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
             done.append((part, number, f"{folder}/{name}", len(writer.keys), writer.ids, size))
 
         for batch in batches:
@@ -226,8 +225,8 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
             part = batch.column(2)[0].as_py()
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 if writer is None:
-                    name = f"part-{part:06d}-{number:04d}.sst"
-                    sink = fs.open_output_stream(f"{root}/.{name}.{attempt}")
+                    name = f"part-{part:06d}-{number:04d}-{attempt}.sst"
+                    sink = fs.open_output_stream(f"{root}/{name}")
                     writer = ShardWriter(sink, block_bytes)
                 writer.add(pack_key(doc), ids)
                 if writer.at >= shard_bytes:
