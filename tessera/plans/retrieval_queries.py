@@ -84,14 +84,14 @@ def n_per_class_sample(spark, sf_dir):
 
 
 def _all_pairs(spark, sf_dir):
-    """Vectors of one identity and two cameras against each other: a re-ranking set by label."""
-    rows = table(spark, sf_dir, "embeddings").where("label = 3")
-    a = rows.select(F.col("vec_id").alias("i"), F.col("embedding").alias("q_vec"))
-    b = rows.select(F.col("vec_id").alias("j"), F.col("embedding").alias("g_vec"))
-    return retrieval.distances(a, b).select("i", "j", F.col("dist").alias("d"))
+    """All vectors of a label against each other: each label is a re-ranking set of its own."""
+    rows = table(spark, sf_dir, "embeddings")
+    a = rows.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("q_vec"))
+    b = rows.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("g_vec"))
+    return a.join(b, "label").select("i", "j", V.squared_distance(F.col("q_vec"), F.col("g_vec")).alias("d"))
 
 
-RERANK = f"""d0 AS (SELECT a.vec_id AS i, b.vec_id AS j, {sql_distance("a.embedding", "b.embedding")} AS d FROM embeddings a, embeddings b WHERE a.label = 3 AND b.label = 3),
+RERANK = f"""d0 AS (SELECT a.vec_id AS i, b.vec_id AS j, {sql_distance("a.embedding", "b.embedding")} AS d FROM embeddings a, embeddings b WHERE a.label = b.label),
     d AS (SELECT j AS i, i AS j, d / max(d) OVER (PARTITION BY j) AS d FROM d0),
     l AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d),
     full_ AS (SELECT a.i, a.j FROM l a JOIN l b ON a.i = b.j AND a.j = b.i WHERE a.r <= 7 AND b.r <= 7),
