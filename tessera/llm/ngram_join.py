@@ -34,7 +34,7 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH = 64
 NEED = 5  # sixteenths of the sketch
-BLOCK_NODES, BLOCK_SHINGLES = 256, 150_000
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 600_000
 SLICE = 4096
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -103,15 +103,15 @@ def linked(overlap, n, m):
     return 100 * overlap >= PERCENT * (n + m - overlap)
 
 
-def _product(a: dict, b: dict) -> np.ndarray:
-    """Overlap counts of two blocks, added up over slices of their common columns."""
-    common = np.intersect1d(np.unique(a["columns"]), np.unique(b["columns"]), assume_unique=True)
-    counts = np.zeros((len(a["nodes"]), len(b["nodes"])), np.float32)
+def _product(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Overlap counts of two blocks (columns of all rows, number by row), added up over slices of their common columns."""
+    common = np.intersect1d(np.unique(a[0]), np.unique(b[0]), assume_unique=True)
+    counts = np.zeros((len(a[1]), len(b[1])), np.float32)
 
     def entries(block):
-        at = np.searchsorted(common, block["columns"])
-        hit = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == block["columns"]) if len(common) else np.zeros(len(at), bool)
-        rows, at = np.repeat(np.arange(len(block["nodes"])), block["sizes"])[hit], at[hit]
+        at = np.searchsorted(common, block[0])
+        hit = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == block[0]) if len(common) else np.zeros(len(at), bool)
+        rows, at = np.repeat(np.arange(len(block[1])), block[1])[hit], at[hit]
         order = np.argsort(at, kind="stable")
         return rows[order], at[order]
 
@@ -120,20 +120,58 @@ def _product(a: dict, b: dict) -> np.ndarray:
         dense = []
         for (rows, at), block in ((left, a), (right, b)):
             lo, hi = np.searchsorted(at, (start, start + SLICE))
-            one = np.zeros((len(block["nodes"]), SLICE), np.float32)
+            one = np.zeros((len(block[1]), min(SLICE, len(common) - start)), np.float32)
             one[rows[lo:hi], at[lo:hi] - start] = 1
             dense.append(one)
         counts += dense[0] @ dense[1].T
     return counts
 
 
-def _joins(a: dict, b: dict) -> list[tuple[int, int]]:
-    """Links between two blocks that join components; those that follow from others are left out."""
-    n, m = a["sizes"][:, None], b["sizes"][None, :]
-    fits = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (a["roots"][:, None] != b["roots"][None, :])
-    if not fits.any():
+class Block:
+    """Nodes of a block, from its file: sizes, roots and open columns at once, shingles where they are needed."""
+
+    def __init__(self, uri: str):
+        fs, path = file_system(uri)
+        self.file = fs.open_input_file(path)
+        n, columns = self._read(0, 2)
+        head = self._read(2, 3 * n + columns)
+        self.sizes, self.roots, self.counts, self.columns = head[:n], head[n : 2 * n], head[2 * n : 3 * n], head[3 * n :]
+        self.start, self.found = 2 + 3 * n + columns, None
+
+    def _read(self, at: int, n: int) -> np.ndarray:
+        self.file.seek(8 * at)
+        return np.frombuffer(self.file.read(8 * int(n)), np.int64)
+
+    def rows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of the chosen rows, and their number by row."""
+        if self.found is None:
+            self.found = self._read(self.start, int(self.sizes.sum()))
+        return self.found[np.repeat(chosen, self.sizes)], self.sizes[chosen]
+
+    @staticmethod
+    def save(rows: list[tuple], sink) -> None:
+        """rows: (size, root, columns, shingles)."""
+        columns, found = [r[2] for r in rows], [r[3] for r in rows]
+        head = [[len(rows), sum(map(len, columns))], [r[0] for r in rows], [r[1] for r in rows], [len(c) for c in columns]]
+        for part in (*head, *columns, *found):
+            sink.write(np.asarray(part, np.int64).tobytes())
+
+
+def _joins(a: Block, b: Block) -> list[tuple[int, int]]:
+    """Links between two blocks that join components; those that follow from others are left out.
+
+    Pairs whose sizes differ too much or that share too few columns are discarded; only their rows that
+    are left take part in the product of full sets.
+    """
+    n, m = a.sizes[:, None], b.sizes[None, :]
+    fits = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (a.roots[:, None] != b.roots[None, :])
+    if fits.any():
+        fits &= _product((a.columns, a.counts), (b.columns, b.counts)) >= np.ceil(np.minimum(np.minimum(n, m), SKETCH) * NEED / 16)
+    rows, columns = fits.any(axis=1), fits.any(axis=0)
+    if not rows.any():
         return []
-    found = fits & linked(_product(a, b), n, m)
+    overlap = _product(a.rows(rows), b.rows(columns))
+    found = fits[np.ix_(rows, columns)] & linked(overlap, n[rows], m[:, columns])
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -141,19 +179,20 @@ def _joins(a: dict, b: dict) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
+    left, right, out = a.roots[rows], b.roots[columns], []
     for i, j in zip(*np.nonzero(found)):
-        x, y = top(int(a["roots"][i])), top(int(b["roots"][j]))
+        x, y = top(int(left[i])), top(int(right[j]))
         if x != y:
             parent[max(x, y)] = min(x, y)
-            out.append((int(a["roots"][i]), int(b["roots"][j])))
+            out.append((int(left[i]), int(right[j])))
     return out
 
 
 def block_links(rest: DataFrame, folder: str) -> DataFrame:
-    """Links that join components among rows (node, n, root, shingles), by blocks of compatible sizes.
+    """Links that join components among rows (node, n, root, part, columns, shingles), by blocks of compatible sizes.
 
-    Blocks are files in the shared folder; a task multiplies two of them and holds no more than that.
+    `part` tells nodes apart that share no column even by way of others; only blocks whose parts meet are
+    multiplied. Blocks are files in the shared folder; a task holds two of them and their product.
     """
 
     def store(batches):
@@ -166,54 +205,47 @@ def block_links(rest: DataFrame, folder: str) -> DataFrame:
 
         def save(rows):
             name = f"{prefix}-{len(made):06d}"
-            sets = [s for *_, s in rows]
-            parts = [np.array([r[1] for r in rows], np.int64), np.array([len(s) for s in sets], np.int64), np.array([r[2] for r in rows], np.int64), np.concatenate(sets)]
             with fs.open_output_stream(f"{path}/{name}") as f:
-                f.write(np.int64(len(rows)).tobytes() + b"".join(p.tobytes() for p in parts))
-            roots = {r[2] for r in rows}
-            made.append((rows[0][0], f"{folder}/{name}", min(roots), max(roots)))
+                Block.save([(len(r[4]), r[2], r[3], r[4]) for r in rows], f)
+            parts, roots = [r[1] for r in rows], [r[2] for r in rows]
+            made.append((rows[0][0], f"{folder}/{name}", min(parts), max(parts), min(roots), max(roots)))
 
         group, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                bucket, node, root = (batch.column(c)[k].as_py() for c in range(3))
-                found = np.asarray(batch.column(3)[k].values)
+                bucket, part, root = (batch.column(c)[k].as_py() for c in range(3))
+                columns, found = (np.asarray(batch.column(c)[k].values) for c in (3, 4))
                 if group and (group[0][0] != bucket or len(group) >= BLOCK_NODES or size + len(found) > BLOCK_SHINGLES):
                     save(group)
                     group, size = [], 0
-                group.append((bucket, node, root, found))
+                group.append((bucket, part, root, columns, found))
                 size += len(found)
         if group:
             save(group)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(kinds)], names=["bucket", "block", "low", "high"])
-
-    def load(uri: str) -> dict:
-        fs, path = file_system(uri)
-        with fs.open_input_stream(path) as f:
-            data = np.frombuffer(f.read(), np.int64)
-        n = int(data[0])
-        nodes, sizes, roots = data[1 : 1 + n], data[1 + n : 1 + 2 * n], data[1 + 2 * n : 1 + 3 * n]
-        return {"nodes": nodes, "sizes": sizes, "roots": roots, "columns": data[1 + 3 * n :]}
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(kinds)], names=["bucket", "block", "part_low", "part_high", "root_low", "root_high"])
 
     def multiply(batches):
-        kept: dict[str, dict] = {}
+        kept: dict[str, Block] = {}
         for batch in batches:
             for left, right in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 kept = {k: v for k, v in kept.items() if k in (left, right)}
                 for uri in (left, right):
                     if uri not in kept:
-                        kept[uri] = load(uri)
+                        kept[uri] = Block(uri)
                 found = _joins(kept[left], kept[right])
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     # Sizes within a bucket, or in neighbouring ones, are all that the bound allows.
     bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9)
-    dealt = rest.select(bucket.alias("bucket"), "node", "root", "shingles").repartitionByRange("bucket", "root", "node").sortWithinPartitions("bucket", "root", "node")
-    blocks = materialize(dealt.mapInArrow(store, "bucket long, block string, low long, high long"), "blocks")
-    left = blocks.select(F.col("block").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("bucket").alias("own"))
-    pairs = left.join(blocks, "bucket").where((F.col("own") < F.col("bucket")) | (F.col("x") <= F.col("block"))).where("NOT (xl = xh AND low = high AND xl = low)")
-    pairs = materialize(pairs.select("x", F.col("block").alias("y")), "block-pairs")
+    dealt = rest.select(bucket.alias("bucket"), "part", "root", "columns", "shingles", "node").repartitionByRange("bucket", "part", "root", "node").sortWithinPartitions("bucket", "part", "root", "node")
+    made = dealt.drop("node").mapInArrow(store, "bucket long, block string, part_low long, part_high long, root_low long, root_high long")
+    blocks = materialize(made, "blocks")
+    names = [c for c in blocks.columns if c != "bucket"]
+    left = blocks.select(*[F.col(c).alias(f"x_{c}") for c in names], F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("bucket").alias("own"))
+    meet = "x_part_low <= part_high AND part_low <= x_part_high AND NOT (x_root_low = x_root_high AND root_low = root_high AND x_root_low = root_low)"
+    pairs = left.join(blocks, "bucket").where((F.col("own") < F.col("bucket")) | (F.col("x_block") <= F.col("block"))).where(meet)
+    pairs = materialize(pairs.select(F.col("x_block").alias("x"), F.col("block").alias("y")), "block-pairs")
     return pairs.repartition(max(1, min(pairs.count(), 2000)), "x", "y").mapInArrow(multiply, "a long, b long")
 
 
@@ -241,7 +273,8 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     wanted = stars.select("node", "doc").union(stars.select(F.col("pivot"), F.col("pdoc"))).union(enough.select("node", "doc")).distinct()
     sets = materialize(full_sets(docs, wanted, length), "sets")
     a, b = sets.select("node", F.col("n").alias("na"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("pivot"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    overlap = stars.select("node", "pivot").join(a, "node").join(b, "pivot").select("node", "pivot", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+    # The pivot first: a hot pivot's rows are short until then, and its set goes with them by node.
+    overlap = stars.select("node", "pivot").join(b, "pivot").join(a, "node").select("node", "pivot", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
     links = materialize(overlap.where(linked(F.col("o"), F.col("na"), F.col("nb"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
     roots = connected_components(links)
     # The rest
@@ -251,7 +284,11 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
         live = live.join(open_, "token")
         left = live.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node")
         live = materialize(live.join(left, "node"), "open")
-    rest = live.select("node", "root").distinct().join(sets.withColumnRenamed("n", "size"), "node").select("node", F.col("size").alias("n"), "root", "shingles")
+    # Nodes that share no column, not even by way of others, are parts of their own.
+    ties = live.join(live.groupBy("token").agg(F.min("node").alias("least")), "token").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    parts = connected_components(ties).select("node", F.col("root").alias("part"))
+    open_nodes = live.groupBy("node", "root").agg(F.collect_list("token").alias("columns"))  # at most SKETCH of them
+    rest = open_nodes.join(parts, "node").join(sets, "node").select("node", "n", "root", "part", "columns", "shingles")
     more = block_links(rest, scratch(spark, "block-store"))
     final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = nodes.join(final, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
@@ -265,5 +302,5 @@ def distinct_documents(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
 
     doc_id identifies a document: of rows that repeat it one stays, rows without an id count as one.
     """
-    kept = components(docs, length).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = components(docs, length).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_doc_id"]), "left_semi").dropDuplicates(["doc_id"])
