@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Table precision and the least state of the coder.
 PRECISION = 16
 LOWEST_STATE = 1 << 31
 TINY = 1.1754943508222875e-38  # the smallest normal float32

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The stream format.
 HEADER = struct.Struct(">4sBII")
 MAGIC = b"BIS1"
 CODINGS = ("bitmap", "index")

@@ -127,10 +127,15 @@ def mean_over_images(per_image: DataFrame, names=DEPTH_NAMES) -> DataFrame:
     return per_image.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
 
 
+#: The evaluation crop (top, bottom, left, right) of images of 480 x 640.
+EIGEN_CROP, EIGEN_SIZE = (45, 471, 41, 601), (480, 640)
+
+
 def eigen_crop(y: Column, x: Column, h: Column, w: Column) -> Column:
-    """Whether a pixel is in the usual evaluation crop of 480 x 640 images, scaled to h x w."""
+    """Whether a pixel is in the evaluation crop, scaled to h x w."""
     at = lambda v, size, full: F.floor(F.lit(v / full) * size)
-    return (y >= at(45, h, 480)) & (y < at(471, h, 480)) & (x >= at(41, w, 640)) & (x < at(601, w, 640))
+    (top, bottom, left, right), (rows, columns) = EIGEN_CROP, EIGEN_SIZE
+    return (y >= at(top, h, rows)) & (y < at(bottom, h, rows)) & (x >= at(left, w, columns)) & (x < at(right, w, columns))
 
 
 def psnr(mse: Column, floor: float = 1e-10) -> Column:
