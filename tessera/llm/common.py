@@ -56,6 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def splittable(side: DataFrame, key: str) -> DataFrame:
+    """An aggregated side of a join, shuffled once more by its integer key.
+
+    Only where both sides of a join come straight from shuffles does Spark split the rows of a hot key of
+    the other side over tasks.
+    """
+    return side.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

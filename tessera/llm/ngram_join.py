@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import file_system, materialize, scratch, ship_code
+from tessera.llm.common import file_system, materialize, scratch, ship_code, splittable
 from tessera.llm.components import connected_components
 from tessera.llm.hashing import chunks, fresh, mix, window_hashes, word_hashes
 
@@ -263,10 +263,10 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     # The columns that two or more sketches share
     tokens = rows.where("n_shingles > 0").groupBy("node").agg(F.any_value("sketch").alias("sketch")).select("node", F.explode("sketch").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    shared = materialize(tokens.join(often, "token").join(nodes, "node").select("token", "node", "doc", "n"), "columns")
+    shared = materialize(tokens.join(splittable(often, "token"), "token").join(nodes, "node").select("token", "node", "doc", "n"), "columns")
     # Stars
     pivot = shared.groupBy("token").agg(F.min(F.struct("doc", "node", "n")).alias("p"))
-    stars = shared.join(pivot, "token").where("node <> p.node").groupBy("node", "n", "doc", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.doc").alias("pdoc")).agg(F.count("*").alias("c"))
+    stars = shared.join(splittable(pivot, "token"), "token").where("node <> p.node").groupBy("node", "n", "doc", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.doc").alias("pdoc")).agg(F.count("*").alias("c"))
     bound = F.greatest(F.lit(1), F.ceil(need(F.least("n", "pn")) / 2))
     stars = materialize(stars.where((F.col("c") >= bound) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))), "stars")
     enough = shared.groupBy("node", "doc", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need(F.col("n")))
@@ -281,11 +281,12 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     live = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
     for _ in range(2):
         open_ = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        live = live.join(open_, "token")
+        live = live.join(splittable(open_, "token"), "token")
         left = live.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= need(F.col("n"))).select("node")
         live = materialize(live.join(left, "node"), "open")
     # Nodes that share no column, not even by way of others, are parts of their own.
-    ties = live.join(live.groupBy("token").agg(F.min("node").alias("least")), "token").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    least = live.groupBy("token").agg(F.min("node").alias("least"))
+    ties = live.join(splittable(least, "token"), "token").select(F.col("node").alias("a"), F.col("least").alias("b"))
     parts = connected_components(ties).select("node", F.col("root").alias("part"))
     open_nodes = live.groupBy("node", "root").agg(F.collect_list("token").alias("columns"))  # at most SKETCH of them
     rest = open_nodes.join(parts, "node").join(sets, "node").select("node", "n", "root", "part", "columns", "shingles")
@@ -293,7 +294,7 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = nodes.join(final, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component"))
-    labels = named.join(least, "root").select("node", "component")
+    labels = named.join(splittable(least, "root"), "root").select("node", "component")
     return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
