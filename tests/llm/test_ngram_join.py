@@ -53,7 +53,8 @@ def test_blocks_alone(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     nodes = ngram_join.sketches(frame).groupBy("node").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc")
     sets = ngram_join.full_sets(frame, nodes, 5)
-    links = ngram_join.block_links(sets.selectExpr("node", "n", "node AS root", "shingles"), scratch(spark, "test"))
+    columns = ngram_join.sketches(frame).dropDuplicates(["node"]).selectExpr("node", "sketch AS columns")
+    links = ngram_join.block_links(sets.join(columns, "node").selectExpr("node", "n", "node AS root", "0L AS part", "columns", "shingles"), scratch(spark, "test"))
     roots = {r.node: r.root for r in connected_components(links).collect()}
     by_node = {r.doc_id: r.node for r in ngram_join.sketches(frame).collect()}
     found, want = {}, {}
