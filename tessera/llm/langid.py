@@ -26,7 +26,7 @@ FILTERS = 8
 EMBEDDING = 8
 #: At most so many labelled rows are gathered for training, each with two windows.
 TRAIN_ROWS = 6_000
-EPOCHS = 12
+EPOCHS, MIN_STEPS = 4, 300  # small samples are gone through more often
 CHUNK = 32  # windows at a time
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -135,7 +135,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-MIN_STEPS * 64 // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
