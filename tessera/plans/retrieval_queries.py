@@ -97,26 +97,48 @@ RERANK = f"""d0 AS (SELECT a.vec_id AS i, b.vec_id AS j, {sql_distance("a.embedd
     full_ AS (SELECT a.i, a.j FROM l a JOIN l b ON a.i = b.j AND a.j = b.i WHERE a.r <= 7 AND b.r <= 7),
     half AS (SELECT a.i, a.j FROM l a JOIN l b ON a.i = b.j AND a.j = b.i WHERE a.r <= 4 AND b.r <= 4)"""
 
+#: The same over the whole table, as the reference compares every vector with all others.
+RERANK_ALL = RERANK.replace(" WHERE a.label = b.label", "")
+
+
+def _table_pairs(spark, sf_dir):
+    """All vectors of the table against each other, whatever their labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    side = lambda v, p: rows.select(F.col("vec_id").alias(v), F.col("embedding").alias(f"{p}_vec"))
+    return retrieval.distances(side("i", "q"), side("j", "g")).select("i", "j", F.col("dist").alias("d"))
+
 
 @query(f"WITH {RERANK} SELECT i, j FROM full_")
 def k_reciprocal_neighbors(spark, sf_dir):
     return retrieval.reciprocal(retrieval.scaled(_all_pairs(spark, sf_dir)), 6)
 
 
-@query(
-    f"""WITH {RERANK}, good AS (SELECT f.i, f.j FROM full_ f JOIN half h ON f.j = h.i LEFT JOIN full_ g ON g.i = f.i AND g.j = h.j GROUP BY ALL HAVING 3 * count(g.i) > 2 * count(*)),
+@query(f"WITH {RERANK_ALL} SELECT i, j FROM full_")
+def k_reciprocal_neighbors_all(spark, sf_dir):
+    return retrieval.reciprocal(_table_pairs(spark, sf_dir), 6)  # a vector's scale does not change its order
+
+
+RERANKED = """good AS (SELECT f.i, f.j FROM full_ f JOIN half h ON f.j = h.i LEFT JOIN full_ g ON g.i = f.i AND g.j = h.j GROUP BY ALL HAVING 3 * count(g.i) > 2 * count(*)),
     ex AS (SELECT i, j FROM full_ UNION SELECT good.i, half.j FROM good JOIN half ON good.j = half.i),
     v0 AS (SELECT i, j, exp(-d) / sum(exp(-d)) OVER (PARTITION BY i) AS w FROM ex JOIN d USING (i, j)),
     v AS (SELECT l.i, v0.j, sum(w) / 3 AS w FROM l JOIN v0 ON l.j = v0.i WHERE l.r <= 3 GROUP BY ALL),
     m AS (SELECT a.i, b.i AS j, sum(least(a.w, b.w)) AS m FROM v a JOIN v b ON a.j = b.j WHERE a.i % 4 = 0 GROUP BY ALL)
     SELECT d.i, d.j, round((1 - coalesce(m, 0) / (2 - coalesce(m, 0))) * 0.7::DOUBLE + d.d * 0.3::DOUBLE, 6) AS dist FROM d LEFT JOIN m USING (i, j) WHERE d.i % 4 = 0 AND d.j % 4 <> 0"""
-)
+
+
+@query(f"WITH {RERANK}, {RERANKED}")
 def jaccard_rerank(spark, sf_dir):
     dist = _all_pairs(spark, sf_dir)
     queries = dist.select("i").distinct().where("i % 4 = 0")
     return retrieval.rerank(dist, queries, k1=6, k2=3, weight=0.3).select("i", "j", F.round("dist", 6).alias("dist"))
 
 
+@query(f"WITH {RERANK_ALL}, {RERANKED}")
+def jaccard_rerank_all(spark, sf_dir):
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("i"))
+    return retrieval.rerank(_table_pairs(spark, sf_dir), queries, k1=6, k2=3, weight=0.3).select("i", "j", F.round("dist", 6).alias("dist"))
+
+
 @query(
     """WITH n AS (SELECT label AS pid, vec_id AS img_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings),
     g AS (SELECT pid, n // 3 AS "group", list(img_id ORDER BY img_id) AS ids FROM n GROUP BY ALL)

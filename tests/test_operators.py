@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators import detection, entropy, geometry, graph, indexset, metrics, normalise, rate, relational, retrieval, video, vq
+from tessera.plans import catalogue
 
 # Rates
 
@@ -298,6 +299,24 @@ def test_rerank_without_blend_keeps_distances(spark):
     assert all(0 <= r.dist <= 1 for r in mixed)
 
 
+def test_reciprocal_pairs_cross_labels(spark, sf):
+    """The registered whole-table query against numpy; neighbours of other labels count."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], float)
+    ids, label = [r.vec_id for r in rows], {r.vec_id: r.label for r in rows}
+    near = []
+    for i in range(len(rows)):
+        d = ((x - x[i]) ** 2).sum(-1)
+        near.append({ids[k] for k in sorted(range(len(rows)), key=lambda k: (d[k], ids[k]))[:7]})
+    lists = dict(zip(ids, near))
+    want = {(i, j) for i in ids for j in lists[i] if i in lists[j]}
+    got = {(r.i, r.j) for r in catalogue.QUERIES["k_reciprocal_neighbors_all"](spark, sf).collect()}
+    assert got == want and any(label[i] != label[j] for i, j in got)
+    ranked = catalogue.QUERIES["jaccard_rerank_all"](spark, sf).select("i", "j").collect()
+    n = sum(i % 4 == 0 for i in ids)
+    assert len(ranked) == n * (len(ids) - n) and any(label[r.i] != label[r.j] for r in ranked)
+
+
 # Metrics
 
 
