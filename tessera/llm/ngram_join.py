@@ -38,7 +38,7 @@ BLOCK_NODES, BLOCK_SHINGLES = 1024, 600_000
 SLICE = 4096
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>"
+SKETCHES = "doc_id long, n_shingles long, node long, text_hash long, sketch array<long>"
 
 
 def shingles(words: np.ndarray, length: int = SHINGLE) -> np.ndarray:
@@ -71,19 +71,21 @@ def _sets(texts: list[bytes | None], length: int) -> list[np.ndarray]:
 def sketches(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for group in chunks(zip(ids, texts), lambda r: len(r[1] or b"")):
-                found = _sets([t for _, t in group], length)
+            for group in chunks(zip(*(c.to_pylist() for c in batch.columns)), lambda r: len(r[1] or b"")):
+                found = _sets([t for _, t, _ in group], length)
                 sketch = [s[:SKETCH].view(np.int64) for s in found]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in group], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([node_of(s) for s in found], pa.int64()), lists], names=["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in group], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([node_of(s) for s in found], pa.int64()), pa.array([h for _, _, h in group], pa.int64()), lists], names=["doc_id", "n_shingles", "node", "text_hash", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(run, SKETCHES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).withColumn("text_hash", F.xxhash64("raw")).mapInArrow(run, SKETCHES)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(node, n, shingles) of the wanted (node, doc): only their documents are read again."""
+    """(node, n, shingles) of the wanted (node, doc): only their documents are read again.
+
+    `doc` is the hash of the text where a row has no id; one that equals an id costs a row more, no result.
+    """
 
     def run(batches):
         for batch in batches:
@@ -94,7 +96,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s.view(np.int64) for _, s in found]) if found else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), lists], names=["node", "n", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("raw")).join(wanted, "doc").select("node", "raw")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("raw"))
+    rows = raw.withColumn("doc", F.coalesce("doc", F.xxhash64("raw"))).join(wanted, "doc").select("node", "raw")
     return rows.mapInArrow(run, "node long, n long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -259,11 +262,12 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     ship_code(spark)
     rows = materialize(sketches(docs, length), "sketches")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"))
+    place = F.coalesce(F.min("doc_id"), F.min("text_hash")).alias("place")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), place, F.max("n_shingles").alias("n"))
     # The columns that two or more sketches share
     tokens = rows.where("n_shingles > 0").groupBy("node").agg(F.any_value("sketch").alias("sketch")).select("node", F.explode("sketch").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    shared = materialize(tokens.join(splittable(often, "token"), "token").join(nodes, "node").select("token", "node", "doc", "n"), "columns")
+    shared = materialize(tokens.join(splittable(often, "token"), "token").join(nodes, "node").select("token", "node", F.col("place").alias("doc"), "n"), "columns")
     # Stars
     pivot = shared.groupBy("token").agg(F.min(F.struct("doc", "node", "n")).alias("p"))
     stars = shared.join(splittable(pivot, "token"), "token").where("node <> p.node").groupBy("node", "n", "doc", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.doc").alias("pdoc")).agg(F.count("*").alias("c"))

@@ -73,6 +73,15 @@ def test_repeated_rows_and_null_ids(spark):
     assert kept == ["2", "9", "None"]
 
 
+def test_null_ids_alone_hold_a_text(spark):
+    """A near copy that no row with an id holds links, and is a bridge between two others."""
+    words = [f"t{k}" for k in range(200)]
+    left, right = [f"x{k}" for k in range(20)] + words[20:], words[:-20] + [f"y{k}" for k in range(20)]
+    frame = spark.createDataFrame([(7, " ".join(left)), (None, " ".join(words)), (3, " ".join(right))], "doc_id long, text string")
+    assert not ngram_join.components(frame.where("doc_id IS NOT NULL")).where("component_id <> doc_id").count()
+    assert [r.component_id for r in ngram_join.components(frame).collect()] == [3, 3, 3]
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
