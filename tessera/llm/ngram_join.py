@@ -252,13 +252,8 @@ def block_links(rest: DataFrame, folder: str) -> DataFrame:
     return pairs.repartition(max(1, min(pairs.count(), 2000)), "x", "y").mapInArrow(multiply, "a long, b long")
 
 
-def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Null and empty texts, and texts of white space, have no shingles and link with nothing. Repeated rows
-    all stay, in one component. Rows with a null doc_id are nodes like others but never name a component
-    unless it has no other id.
-    """
+def _labelled(docs: DataFrame, length: int) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, text_hash, root and component; no root without shingles."""
     spark = docs.sparkSession
     ship_code(spark)
     rows = materialize(sketches(docs, length), "sketches")
@@ -298,14 +293,31 @@ def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = nodes.join(final, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component"))
-    labels = named.join(splittable(least, "root"), "root").select("node", "component")
-    return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = named.join(splittable(least, "root"), "root").select("node", "root", "component")
+    return rows.select("doc_id", "n_shingles", "text_hash", "node").join(labels, "node", "left").drop("node")
+
+
+def components(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Null and empty texts, and texts of white space, have no shingles and link with nothing. Repeated rows
+    all stay, in one component. Rows with a null doc_id are nodes like others but never name a component
+    unless it has no other id.
+    """
+    return _labelled(docs, length).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     """One document of each component, that of the smallest id, with all columns.
 
-    doc_id identifies a document: of rows that repeat it one stays, rows without an id count as one.
+    A document is its doc_id and its text: different texts under one id, or without an id, are judged by their
+    own components. A row without an id stays only where its component has no id. Texts without shingles
+    are components of their own; of repeated rows one stays.
     """
-    kept = components(docs, length).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    alone = [F.when(F.col("root").isNull(), F.col(c)).alias(f"own_{c}") for c in ("doc_id", "text_hash")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    picked = _labelled(docs, length).groupBy("root", *alone).agg(first)
+    kept = picked.select(F.col("first.doc_id").alias("_kept_doc_id"), F.col("first.text_hash").alias("_kept_text_hash"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string").cast("binary")))
+    same = rows["doc_id"].cast("long").eqNullSafe(kept["_kept_doc_id"]) & (rows["_text_hash"] == kept["_kept_text_hash"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

@@ -82,6 +82,14 @@ def test_null_ids_alone_hold_a_text(spark):
     assert [r.component_id for r in ngram_join.components(frame).collect()] == [3, 3, 3]
 
 
+def test_different_texts_without_or_under_one_id_stay(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    docs = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[3] + " end"), (None, texts[2] + " end"), (None, "")]
+    kept = ngram_join.distinct_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (3, texts[3] + " end"), (None, "")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
