@@ -24,7 +24,7 @@ from tessera.llm.hashing import MIX, chunks, doubled, fresh, mix, window_hashes,
 
 LENGTH = 20
 
-MARKS = "key long, doc_id long, pos int, n int"
+MARKS = "key long, doc_id long, pos int, n int, text_hash long"
 WINDOWS = "key long, doc_id long, text_hash long, pos int, stop int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -94,14 +94,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def marks(docs: DataFrame, length: int) -> DataFrame:
-    """Half-length windows that repeat: (doc_id, pos); a document that an earlier one equals word by word: pos -1."""
+    """Half-length windows that repeat: (doc_id, pos); a text that an earlier document equals word by word: pos -1 and its text_hash."""
 
     def run(batches):
         for batch in batches:
-            rows = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if d is not None and t]
+            rows = [(d, t, h) for d, t, h in zip(*(c.to_pylist() for c in batch.columns)) if d is not None and t]
             for group in chunks(rows, lambda r: len(r[1])):
-                c = Chunk([t for _, t in group], length)
-                ids = np.array([d for d, _ in group], np.int64)
+                c = Chunk([t for _, t, _ in group], length)
+                ids, hashes = np.array([d for d, _, _ in group], np.int64), np.array([h for _, _, h in group], np.int64)
                 at = np.unique(c.anchor)
                 pos = c.place(at)
                 doc = ids[c.doc[at]]
@@ -119,14 +119,15 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
                 copy = own != lead_id
                 use = lead | copy
                 tail = [np.where(copy, _scatter(own, own), sums[perm])[use], own[use], np.where(copy, -2, -1)[use], np.ones(int(use.sum()), np.int64)]
+                text_hash = pa.chunked_array([pa.nulls(len(pos), pa.int64()), pa.array(hashes[long][perm][use], pa.int64())]).combine_chunks()
                 keys, doc, pos, n = (np.concatenate([a, b]) for a, b in zip(out, tail))
-                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(n.astype(np.int32), pa.int32())], names=["key", "doc_id", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(n.astype(np.int32), pa.int32()), text_hash], names=["key", "doc_id", "pos", "n", "text_hash"])
 
-    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), "text_hash")
     same = Window.partitionBy("key", (F.col("pos") < 0))
     found = raw.mapInArrow(run, MARKS).withColumns({"all": F.sum("n").over(same), "first": F.min("doc_id").over(same)})
     copy = (F.col("pos") == -2) | ((F.col("pos") == -1) & (F.col("first") < F.col("doc_id")))
-    return found.where(copy | ((F.col("pos") >= 0) & (F.col("all") > 1))).select("doc_id", F.when(F.col("pos") < 0, -1).otherwise(F.col("pos")).alias("pos"))
+    return found.where(copy | ((F.col("pos") >= 0) & (F.col("all") > 1))).select("doc_id", F.when(F.col("pos") < 0, -1).otherwise(F.col("pos")).alias("pos"), "text_hash")
 
 
 def window_hashes_of(words: np.ndarray) -> np.uint64:
@@ -140,8 +141,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3)))
-            rows = [(d, h, t, np.asarray(p.values)) for d, h, t, p in rows if p.is_valid]
+            rows = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3), batch.column(4).to_pylist()))
+            rows = [(d, h, t, None if copy else np.asarray(p.values)) for d, h, t, p, copy in rows if copy or (p.is_valid and len(p))]
             for group in chunks(rows, lambda r: len(r[2])):
                 yield from one(group)
 
@@ -152,12 +153,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for column, x in zip(out, (keys, ids, hashes, pos, stop)):
                 column.append(np.asarray(x))
 
-        whole = [(d, h, t) for d, h, t, p in group if p[0] < 0]
+        whole = [(d, h, t) for d, h, t, p in group if p is None]
         if whole:
             ids, hashes = np.array([d for d, _, _ in whole]), np.array([h for _, h, _ in whole])
             n = np.array([len(t.split()) for _, _, t in whole])
             add(_scatter(ids, hashes), ids, hashes, np.zeros(len(ids), np.int64), n)
-        rest = [r for r in group if r[3][0] >= 0]
+        rest = [r for r in group if r[3] is not None]
         if rest:
             c = Chunk([t for _, _, t, _ in rest], length)
             good = np.zeros(len(c.words) + 1, bool)
@@ -183,9 +184,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys, ids, hashes, pos, stop = (np.concatenate(x) for x in out)
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(stop.astype(np.int32), pa.int32())], names=["key", "doc_id", "text_hash", "pos", "stop"])
 
-    by_doc = marks(docs, length).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("marks"))
+    windows = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos")))).alias("marks")
+    by_doc = marks(docs, length).groupBy("doc_id").agg(windows, F.collect_set(F.when(F.col("pos") < 0, F.col("text_hash"))).alias("copies"))
     # Not an inner join: so this join and that in dedup() share one shuffle of the texts.
-    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), "marks")
+    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), "marks", F.array_contains("copies", F.col("text_hash")).alias("copy"))
     found = joined.mapInArrow(run, WINDOWS)
     first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("key"))
     judged = found.withColumn("first", first).where((F.col("stop") >= 0) | (F.struct("doc_id", "pos") > F.col("first")))

@@ -48,6 +48,14 @@ def test_repeated_rows_and_null_ids(spark):
     assert run(spark, docs, 20) == sorted(plain.deduplicated(docs), key=str)
 
 
+def test_a_copy_under_an_id_with_another_text(spark):
+    """Only the copy goes whole; the other text of its id stays, and is the first place of a later document."""
+    copied, own = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    docs = [(1, copied), (2, copied), (2, own), (3, own + " tail")]
+    removed = sorted((d, n, gone) for d, n, gone, *_ in run(spark, docs, 20))
+    assert removed == [(1, 30, 0), (2, 30, 0), (2, 30, 30), (3, 31, 30)]
+
+
 def test_empty(spark):
     assert run(spark, [], 20) == []
 
