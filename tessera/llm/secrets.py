@@ -200,13 +200,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_each: int = TRAIN_E
             for text in filter(None, batch.column(0).to_pylist()):
                 out += credentials(text)
                 hit = [(a, b) for _, a, b, _ in base_spans(text)]
-                plain = []
-                for m in ORDINARY.finditer(text):
-                    if not any(a < m.end() and m.start() < b for a, b in hit):
-                        plain.append(("", m[0]))
-                        if len(plain) == 20:
-                            break
-                out += plain
+                out += {("", m[0]) for m in ORDINARY.finditer(text) if not any(a < m.end() and m.start() < b for a, b in hit)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], names=["kind", "token"])
 
     found = rows.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(tokens, "kind string, token string")

@@ -60,3 +60,10 @@ def test_redact(spark):
     out = {r.doc_id: r for r in secrets.redact(frame, secrets.Scanner({}, [])).collect()}
     assert out[4].text == '[SECRET]" and [SECRET]' and out[4].n_chars == len(out[4].text)
     assert out[3].text == "clean words only" and out[1].text is None and len(out) == 6
+
+
+def test_ordinary_tokens_come_from_whole_texts(spark):
+    words = [f"word-{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    frame = spark.createDataFrame([(1, 'token = "abcdef123456" ' + " ".join(words))], "doc_id long, text string")
+    assert secrets.fit(frame).common == set(words)
+    assert len(secrets.fit(frame, train_each=50).common) == 50
