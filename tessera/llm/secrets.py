@@ -25,8 +25,8 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Candidates of the format score: whole tokens of these characters, of 16 or more, with a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+#: Candidates of the format score: whole tokens of these characters, of 6 or more, as labelled assignments are.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}(?![A-Za-z0-9+/_=-])")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
 #: Training documents have one of these; scanning itself looks at all documents.
@@ -35,6 +35,7 @@ TRAIN_DOCS = 4_000  # rows whose tokens are looked at for training
 TRAIN_EACH = 2_000  # credentials or ordinary tokens of a kind, at most
 ALPHA = 0.05
 THRESHOLD = 1.0  # bits a character
+KNOWN = 20_000  # scores a task remembers; words repeat
 SPANS = "doc_id long, spans array<struct<kind: string, start: int, end: int, score: double>>"
 
 
@@ -145,6 +146,7 @@ class Scanner:
         self.automata = {kind: Automaton(map(shape, rows)) for kind, rows in sorted(labelled.items()) if rows}
         self.ordinary = Automaton(map(shape, ordinary)) if ordinary else None
         self.common = set(ordinary)
+        self.known: dict[str, float] = {}
 
     def score(self, token: str) -> float:
         """Bits a character by which the best automaton beats the ordinary tokens' one."""
@@ -159,8 +161,13 @@ class Scanner:
         out = base_spans(text)
         covered = [(a, b) for _, a, b, _ in out]
         if self.automata and self.ordinary is not None:
+            known = self.known
             for m in CANDIDATE.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b in covered) or (score := self.score(m[0])) < self.threshold:
+                if (score := known.get(m[0])) is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    score = known[m[0]] = self.score(m[0])
+                if score < self.threshold or any(a < m.end() and m.start() < b for a, b in covered):
                     continue
                 out.append(("format", m.start(), m.end(), score))
         return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))

@@ -67,3 +67,15 @@ def test_ordinary_tokens_come_from_whole_texts(spark):
     frame = spark.createDataFrame([(1, 'token = "abcdef123456" ' + " ".join(words))], "doc_id long, text string")
     assert secrets.fit(frame).common == set(words)
     assert len(secrets.fit(frame, train_each=50).common) == 50
+
+
+def test_short_formats_and_formats_without_digits_are_found(monkeypatch):
+    rng = random.Random(4)
+    short = ["q7" + "".join(rng.choices("ABCDEFGHJK0123456789", k=8)) for _ in range(300)]
+    letters = ["".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ", k=24)) for _ in range(300)]
+    scanner = secrets.Scanner({"assign": short[1:] + letters[1:]}, ORDINARY)
+    text = f"another {short[0]} word {letters[0]} section12 hyphen-ated"
+    want = [("format", 8, 18), ("format", 24, 48)]
+    assert [s[:3] for s in scanner.spans(text)] == want
+    monkeypatch.setattr(secrets, "KNOWN", 1)
+    assert [s[:3] for s in scanner.spans(text)] == want
