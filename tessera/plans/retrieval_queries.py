@@ -32,6 +32,18 @@ def retrieval_topk(spark, sf_dir):
     return retrieval.top_k(_pairs(spark, sf_dir), 10).select("q_id", "g_id", "rank", F.round("dist", 9).alias("dist"))
 
 
+PAIRS_ALL = f"""pairs AS (SELECT q.vec_id AS q_id, g.vec_id AS g_id, {sql_distance("q.embedding", "g.embedding")} AS dist FROM embeddings q, embeddings g WHERE q.vec_id % 50 = 0 AND q.vec_id <> g.vec_id)"""
+
+
+@query(f"WITH {PAIRS_ALL} SELECT q_id, g_id, CAST(rank AS INTEGER) AS rank, round(dist, 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, g_id) AS rank FROM pairs) WHERE rank <= 10")
+def retrieval_topk_all(spark, sf_dir):
+    """The gallery is the whole table but the query itself."""
+    rows = table(spark, sf_dir, "embeddings")
+    side = lambda p: rows.select(F.col("vec_id").alias(f"{p}_id"), F.col("embedding").alias(f"{p}_vec"))
+    pairs = retrieval.distances(side("q").where("q_id % 50 = 0"), side("g")).where("q_id <> g_id")
+    return retrieval.top_k(pairs, 10).select("q_id", "g_id", "rank", F.round("dist", 9).alias("dist"))
+
+
 @query(f"WITH {RANKED} SELECT count(*) AS valid_queries, round(avg(ap), 9) AS map, round(avg((first <= 1)::INTEGER), 9) AS cmc_1, round(avg((first <= 5)::INTEGER), 9) AS cmc_5, round(avg((first <= 10)::INTEGER), 9) AS cmc_10 FROM each")
 def reid_cmc_map(spark, sf_dir):
     r = lambda c: F.round(c, 9).alias(c)

@@ -317,6 +317,13 @@ def test_reciprocal_pairs_cross_labels(spark, sf):
     assert len(ranked) == n * (len(ids) - n) and any(label[r.i] != label[r.j] for r in ranked)
 
 
+def test_queries_are_in_each_others_gallery(spark, tmp_path):
+    rows = [(0, [0.0, 0.0], 1), (50, [0.1, 0.0], 1), (3, [5.0, 0.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.q_id, r["rank"]): r.g_id for r in catalogue.QUERIES["retrieval_topk_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1): 50, (0, 2): 3, (50, 1): 0, (50, 2): 3}
+
+
 # Metrics
 
 
