@@ -2,59 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.shipping import ship_code  # noqa: F401  (for the modules of this subpackage)
+from tessera.operators.store import discard, materialize, scratch, shared_dir  # noqa: F401  (for the modules of this subpackage)
+from tessera.shipping import ship_code  # noqa: F401
 
 #: Words of the contracts: runs of anything but these. ``bytes.split()`` splits at exactly these bytes.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/tessera-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_remove)
-    _made.append((spark, path))
-    return path
-
-
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def splittable(side: DataFrame, key: str) -> DataFrame:
     """An aggregated side of a join, shuffled once more by its integer key.
@@ -86,3 +46,24 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives free memory back when its task ends: workers outlive their tasks."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner

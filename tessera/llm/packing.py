@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import materialize
+from tessera.llm.common import lean, materialize
 
 LENGTH = 4096
 OPEN_BINS = 512
@@ -81,7 +81,7 @@ def cut(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, en
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(pieces), PIECES)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK, vocabulary: str | None = None, end_id: int = tokens.END_ID) -> DataFrame:
@@ -105,4 +105,4 @@ def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, piec
             placed = [packer.place(n) for n in sizes]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return dealt.mapInArrow(place, PACKED)
+    return dealt.mapInArrow(lean(place), PACKED)
