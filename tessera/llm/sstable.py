@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import file_system, scratch
+from tessera.llm.common import file_system, lean, scratch
 
 MAGIC = b"TSST0001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index place, length; filter place, length; entries; ids; crc of index and filter
@@ -28,7 +28,7 @@ BLOCK_BYTES = 256 * 1024
 SHARD_BYTES = 256 * 1024 * 1024
 BITS_PER_KEY, HASHES = 10, 7
 
-MANIFEST = "part long, shard int, path string, entries long, ids long, bytes long"
+MANIFEST = "part long, shard int, path string, entries long, ids long, bytes long, first binary, last binary"
 
 
 def pack_key(doc_id: int | None) -> bytes:
@@ -217,7 +217,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         def end():
             size = writer.close()
             sink.close()
-            done.append((part, number, f"{folder}/{name}", len(writer.keys), writer.ids, size))
+            done.append((part, number, f"{folder}/{name}", len(writer.keys), writer.ids, size, writer.keys[0], writer.keys[-1]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -234,10 +234,10 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
                     writer, number = None, number + 1
         if writer is not None:
             end()
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names=["part", "shard", "path", "entries", "ids", "bytes"])
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names=["part", "shard", "path", "entries", "ids", "bytes", "first", "last"])
 
-    done = rows.mapInArrow(shards, MANIFEST).collect()  # a row for each shard, not for each document
+    done = rows.mapInArrow(lean(shards), MANIFEST).collect()  # a row for each shard, not for each document
     return spark.createDataFrame(done, MANIFEST)
 
 
@@ -258,13 +258,19 @@ def read(manifest: DataFrame) -> DataFrame:
                     rows = [(unpack_key(key), base + start, len(ids), zlib.crc32(ids.tobytes())) for key, start, ids in reader.block(k)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spread.select("path", "base").mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.select("path", "base").mapInArrow(lean(entries), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(paths: Iterable[str], doc_id: int | None) -> np.ndarray | None:
-    """The ids of one document by binary search, asking each shard's filter first."""
-    for path in paths:
-        ids = ShardReader(path).get(doc_id)
+def lookup(manifest: Iterable, doc_id: int | None) -> np.ndarray | None:
+    """The ids of one document by binary search, first over the shards' keys, then in a shard.
+
+    `manifest`: its rows, in order of part and shard. Shards whose keys meet (repeated ids) are asked one after another.
+    """
+    rows, key = sorted(manifest, key=lambda r: (r["part"], r["shard"])), pack_key(doc_id)
+    for r in rows[bisect_left(rows, key, key=lambda r: bytes(r["last"])) :]:
+        if bytes(r["first"]) > key:
+            return None
+        ids = ShardReader(r["path"]).get(doc_id)
         if ids is not None:
             return ids
     return None

@@ -62,8 +62,8 @@ def test_documents(spark):
         want.append((d, at, len(ids), plain.crc(ids)))
         at += len(ids)
     assert got == want
-    paths = [r.path for r in manifest.collect()]
-    assert sstable.lookup(paths, -2).tolist() == encoded("minus") and sstable.lookup(paths, 4) is None
+    made = manifest.collect()
+    assert sstable.lookup(made, -2).tolist() == encoded("minus") and sstable.lookup(made, 4) is None
 
 
 def test_empty(spark):
