@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, splittable
+from tessera.llm.common import discard, materialize, splittable
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(splittable(small, "u"), "u")
         after = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        live = materialize(after, "edges")
+        before, live = live, materialize(after, "edges")
+        discard(before)
         now = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

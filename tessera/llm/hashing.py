@@ -1,43 +1,21 @@
 """64-bit hashes of words and of windows of words, for many documents at a time in numpy.
 
-Words are hashed by xxhash; a window's hash folds those of its words in order. Equal windows are taken
-to be those of equal hashes: over n windows two different ones meet with a chance of about n^2 / 2^65.
+Texts are split and their distinct words found by Arrow's kernels; a word's hash adds up hashes of its
+bytes at their places, a window's hash folds those of its words in order. Equal windows are taken to be
+those of equal hashes: over n windows two different ones meet with a chance of about n^2 / 2^65. Nothing
+is kept between calls.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
 CHUNK_BYTES = 4_000_000
 
 
-class _Words(dict):
-    """Word hashes by word, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = found
-        return found
-
-
-_cache = _Words()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
-
-
-def fresh() -> None:
-    """Drops the words seen so far where there are many; called once a chunk."""
-    if len(_cache) >= CACHE_WORDS:
-        _cache.clear()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -46,6 +24,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def string_hashes(words: pa.Array) -> np.ndarray:
+    """The hash of each string of an array without nulls."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
+    size = np.diff(offsets) if n else np.zeros(0, np.int64)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(data)) - np.repeat(begin, size)
+    each = mix((place.astype(np.uint64) * MIX) ^ (data.astype(np.uint64) + np.uint64(1)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
+    return mix(total[begin + size] - total[begin] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and how many each text has. Null: none. `lower` lower-cases A-Z."""
+    texts = texts.fill_null("")
+    if lower:
+        texts = pc.ascii_lower(texts)
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    found = string_hashes(words.dictionary)[words.indices.to_numpy()]
+    edges = split.offsets.to_numpy().astype(np.int64)
+    edges -= edges[0]
+    empty = pc.index(words.dictionary, "").as_py()  # beside leading and trailing white space
+    if empty >= 0:
+        real = words.indices.to_numpy() != empty
+        before = np.concatenate([[0], np.cumsum(real)])
+        return found[real], np.diff(before[edges])
+    return found, np.diff(edges)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The same hashes of words that are split already."""
+    return string_hashes(pa.array(words, pa.binary()))
+
+
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """The hash of each window of `length` words, also across documents; none where there are fewer words."""
     n = max(0, len(words) - length + 1)
@@ -72,3 +86,12 @@ def chunks(rows, size, limit: int = CHUNK_BYTES):
             group, total = [], 0
     if group:
         yield group
+
+
+def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """Ranges of rows whose texts have about `limit` bytes together."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(size):
+        return []
+    edges = np.flatnonzero(np.diff(np.cumsum(size) // limit, prepend=-1, append=-1)).tolist()
+    return list(zip(edges, edges[1:]))

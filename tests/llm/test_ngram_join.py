@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import ngram_join
@@ -47,16 +48,17 @@ def test_brute_force(spark, seed):
 
 
 def test_blocks_alone(spark, monkeypatch):
-    """Step 3 by itself, with every set its own component, in tiny blocks."""
+    """Step 2 by itself, with every set its own component, in tiny blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", 7)
     docs = [(d, t) for d, t in corpus(3) if plain.shingle_set(t)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    nodes = ngram_join.sketches(frame).groupBy("node").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc")
+    order = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    nodes = ngram_join.prefixes(frame, order).groupBy("node").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc")
     sets = ngram_join.full_sets(frame, nodes, 5)
-    columns = ngram_join.sketches(frame).dropDuplicates(["node"]).selectExpr("node", "sketch AS columns")
+    columns = ngram_join.prefixes(frame, order).dropDuplicates(["node"]).selectExpr("node", "prefix AS columns")
     links = ngram_join.block_links(sets.join(columns, "node").selectExpr("node", "n", "node AS root", "0L AS part", "columns", "shingles"), scratch(spark, "test"))
     roots = {r.node: r.root for r in connected_components(links).collect()}
-    by_node = {r.doc_id: r.node for r in ngram_join.sketches(frame).collect()}
+    by_node = {r.doc_id: r.node for r in ngram_join.prefixes(frame, order).collect()}
     found, want = {}, {}
     for d, (_, c) in plain.joined(docs).items():
         found.setdefault(roots.get(by_node[d], by_node[d]), set()).add(d)
@@ -64,6 +66,41 @@ def test_blocks_alone(spark, monkeypatch):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+def test_bounds():
+    """Linked sets share as many prefix columns as the bounds say, whatever the order."""
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randrange(1, 130)
+        m = min(4 * n // 3, n + rng.randrange(0, n // 3 + 1))
+        overlap = next(o for o in range(n + 1) if 100 * o >= 75 * (n + m - o) or o == n)
+        if 100 * overlap < 75 * (n + m - overlap):
+            continue
+        common = [("both", k) for k in range(overlap)]
+        x, y = common + [("x", k) for k in range(n - overlap)], common + [("y", k) for k in range(m - overlap)]
+        worst = rng.choice([lambda e: (e[0] == "both", e), lambda e: (e[0] == "y", e), lambda e: hash((e, n))])
+        shared = set(sorted(x, key=worst)[: n - int(ngram_join.rest(n))]) & set(sorted(y, key=worst)[: m - int(ngram_join.rest(m))])
+        least = ngram_join.need(n, m, max(ngram_join.rest(n), ngram_join.rest(m)))
+        assert len(shared) >= least >= max(ngram_join.row_need(m), 1) and least >= ngram_join.row_need(n)
+
+
+def test_hot_columns(spark, monkeypatch):
+    """One pivot a column and a passage in all texts: what the product leaves open, the blocks must find."""
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 5)
+    rng, passage = random.Random(9), [f"p{k}" for k in range(80)]
+    docs = []
+    for k in range(70):
+        words = passage + [f"w{rng.randrange(12)}" for _ in range(rng.choice((10, 14, 20, 25)))]
+        docs.append((k, " ".join(words)))
+    assert run(spark, docs) == plain.joined(docs)
+
+
+def test_order_of_columns_changes_nothing(spark, monkeypatch):
+    docs = corpus(4, families=3)
+    monkeypatch.setattr(ngram_join, "COMMON", 50)
+    assert run(spark, docs) == plain.joined(docs)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"t{k}" for k in range(40))
     frame = spark.createDataFrame([(4, text), (4, text), (2, text), (None, text), (None, ""), (9, "other words stand here alone")], "doc_id long, text string")
