@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.fit(urls.weak_labels(pages)))
+    return urls.judge(pages, urls.fit(urls.page_labels(pages)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

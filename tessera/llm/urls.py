@@ -21,8 +21,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the query: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Hosts of the query's labelled URLs are bad if a label has one of these words between hyphens or alone.
-BAD_WORDS = ("casino", "pills", "bets", "spam", "ads", "track", "viagra", "porn", "loans", "warez")
+#: A page is labelled bad by its text: runs of marks, or a title in capitals.
+JUNK, MANY_JUNK, SHOUTED = r"[#*$%&]{3,}", 3, r"(?is)<title>(?-i:[^a-z<]{20,})</title>|(?-i:<title>[^a-z<]{20,})"
+FOLDS = 5  # a training row's suffix statistics come from the folds it isn't in
 
 TRAIN_ROWS = 20_000  # labelled URLs used for training, at most
 TREES, DEPTH, BINS, RATE, RIDGE = 8, 3, 16, 0.5, 1.0
@@ -81,11 +82,15 @@ class UrlModel:
     prior: float
     names: tuple[str, ...]
 
-    def features(self, rows: DataFrame) -> DataFrame:
-        """Rows with lexical features and the suffix statistics; the training bound makes the table broadcastable."""
+    def features(self, rows: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+        """Rows with lexical features and the suffix statistics (by fold, where `stats` has folds).
+
+        The training bound makes the table broadcastable: three rows for each training row at most.
+        """
+        stats = self.suffixes if stats is None else stats
         for s in SUFFIXES:
-            stats = self.suffixes.select(F.col("suffix").alias(s), F.col("rate").alias(f"{s}_rate"), F.col("seen").alias(f"{s}_seen"))
-            rows = rows.join(F.broadcast(stats), s, "left")
+            renamed = stats.withColumnsRenamed({"suffix": s, "rate": f"{s}_rate", "seen": f"{s}_seen"})
+            rows = rows.join(F.broadcast(renamed), [s, "fold"] if "fold" in stats.columns else s, "left")
         return rows.fillna(self.rate, [f"{s}_rate" for s in SUFFIXES]).fillna(0.0, [f"{s}_seen" for s in SUFFIXES])
 
     @property
@@ -112,15 +117,20 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, d
     that of the prior.
     """
     rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label")).distinct()
-    sample = materialize(lexical(bounded_sample(rows, train_rows, "url", "label")), "urls")
+    sample = materialize(lexical(bounded_sample(rows, train_rows, "url", "label")).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")), "urls")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     rate = (positive + 0.5) / (n + 1)
     prior = math.log(rate / (1 - rate))
     suffix = F.explode(F.array_distinct(F.array(*SUFFIXES)))
-    stats = sample.select(suffix.alias("suffix"), "label").groupBy("suffix").agg(((F.sum("label") + SMOOTHING * rate) / (F.count("*") + SMOOTHING)).alias("rate"), F.log1p(F.count("*").cast("double")).alias("seen"))
+    each = sample.select(suffix.alias("suffix"), "label", "fold").groupBy("suffix", "fold").agg(F.sum("label").alias("bad"), F.count("*").cast("double").alias("n"))
+    told = lambda bad, n: [((bad + SMOOTHING * rate) / (n + SMOOTHING)).alias("rate"), F.log1p(n).alias("seen")]
+    each = materialize(each, "suffix-folds")
+    whole = each.groupBy("suffix").agg(F.sum("bad").alias("bad_all"), F.sum("n").alias("n_all"))
     names = NUMERIC + tuple(f"{s}_{x}" for s in SUFFIXES for x in ("rate", "seen"))
-    model = UrlModel(materialize(stats, "suffixes"), [], [], prior, names)
-    full = model.features(sample)
+    model = UrlModel(materialize(whole.select("suffix", *told(F.col("bad_all"), F.col("n_all"))), "suffixes"), [], [], prior, names)
+    # A row must not see its own label: it gets the statistics of the other folds.
+    others = each.join(whole, "suffix").select("suffix", "fold", *told(F.col("bad_all") - F.col("bad"), F.col("n_all") - F.col("n")))
+    full = model.features(sample, materialize(others, "other-folds"))
     steps = [k / BINS for k in range(1, BINS)]
     cuts = full.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in names]).first()
     model.edges = [sorted(set(cuts[c] or [])) for c in names]
@@ -169,12 +179,28 @@ def _grow(train: DataFrame, model: UrlModel, depth: int) -> dict:
     return root
 
 
-def weak_labels(pages: DataFrame) -> DataFrame:
-    """Labelled URLs for the query: 1 where a host label has one of BAD_WORDS, else 0."""
-    bad = host(F.col("url")).rlike(r"(^|[.-])(" + "|".join(BAD_WORDS) + r")([.-]|$)")
+def page_labels(pages: DataFrame) -> DataFrame:
+    """Labelled URLs for the query, by the text of their pages alone: 1 for junk or a shouted title, else 0. A null html gives no label."""
+    bad = (F.regexp_count("html", F.lit(JUNK)) >= MANY_JUNK) | F.col("html").rlike(SHOUTED)
     return pages.select("url", bad.cast("int").alias("label"))
 
 
+def held_out(pages: DataFrame, part: int = FOLDS) -> Column:
+    """Whether a url is in the one of `part` parts by hash that a measurement keeps from training."""
+    return F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(part)) == 0
+
+
+def area(scored: DataFrame) -> float | None:
+    """Area under the ROC curve of rows (score, label): the chance that a row of label 1 scores above one of label 0, ties half.
+
+    Rows are counted by score first, so the window runs over distinct scores: a tree model has few.
+    """
+    counts = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = counts.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won")).agg(F.sum("won"), F.sum("p"), F.sum("n")).first()
+    return total[0] / (total[1] * total[2]) if total[1] and total[2] else None
+
+
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, limit: float = 0.5) -> DataFrame:
     """Judges every url: page_id, host, path, rule, verdict, score.
 

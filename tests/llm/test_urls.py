@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.llm import urls
 
 from . import plain
@@ -20,7 +22,7 @@ def rule_of(host, path):
 def test_host_path_and_rule(spark):
     rows = [(k, u, "clash") for k, u in enumerate(URLS)] + [(4, URLS[4], "again")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    model = urls.fit(urls.weak_labels(pages), trees=2, depth=2)
+    model = urls.fit(pages.selectExpr("url", "page_id % 2 AS label"), trees=2, depth=2)
     got = urls.judge(pages, model).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -40,6 +42,30 @@ def test_trees_learn(spark):
     assert got == {1: "allow", 2: "block"}
 
 
+def test_held_out(spark):
+    """What was learnt holds on URLs kept from training; labels by chance teach nothing."""
+    rows = [(f"http://www.site{k % 40}.example.{'net' if k % 3 else 'org'}/" + ("a/" * (k % 5)) + f"{k}" + ("?q=1&s=2" if k % 2 else ""), k % 2, (k * 7919) % 101 % 2) for k in range(1200)]
+    pages = spark.createDataFrame(rows, "url string, label int, chance int").withColumn("page_id", F.monotonically_increasing_id())
+    out = urls.held_out(pages)
+    for label, low, high in (("label", 0.95, 1.0), ("chance", 0.35, 0.65)):
+        model = urls.fit(pages.where(~out).select("url", F.col(label).alias("label")), trees=3, depth=2)
+        judged = urls.judge(pages.where(out), model).join(pages.select("page_id", F.col(label).alias("label")), "page_id")
+        assert low <= urls.area(judged) <= high
+
+
+def test_area(spark):
+    rows = [(0.1, 0), (0.4, 1), (0.4, 0), (0.8, 1), (0.8, 1), (0.2, 0)]
+    pairs = [(a > b) + (a == b) / 2 for a, x in rows if x for b, y in rows if not y]
+    assert abs(urls.area(spark.createDataFrame(rows, "score double, label int")) - sum(pairs) / len(pairs)) < 1e-12
+    assert urls.area(spark.createDataFrame(rows[:1], "score double, label int")) is None
+
+
+def test_labels_come_from_the_page(spark):
+    html = ["<title>quiet words of a page here</title>", "<title>LOUD WORDS OF A PAGE, HERE</title>", "a ### b *** c $$$ d", "# * $ ###", None]
+    pages = spark.createDataFrame([(f"http://casino.example/{k}", h) for k, h in enumerate(html)], "url string, html string")
+    assert [r.label for r in urls.page_labels(pages).orderBy("url").collect()] == [0, 1, 1, 0, None]
+
+
 def test_bounds_and_empty(spark):
     none = spark.createDataFrame([], "url string, label int")
     model = urls.fit(none)
@@ -51,5 +77,5 @@ def test_bounds_and_empty(spark):
 
 def test_no_python(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    plan = urls.judge(pages, urls.fit(urls.weak_labels(pages), trees=1, depth=1))._jdf.queryExecution().toString()
+    plan = urls.judge(pages, urls.fit(urls.page_labels(pages), trees=1, depth=1))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
