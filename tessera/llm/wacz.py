@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import file_system, materialize, scratch, ship_code
+from tessera.llm.common import file_system, lean, materialize, scratch, ship_code
 
 ARCHIVE_BYTES = 64 * 1024 * 1024
 READ_BYTES = 4 * 1024 * 1024
@@ -238,7 +238,7 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archi
     Of records with equal payloads (by SHA-1) of at least `min_bytes`, that with the smallest page_id is
     the response and the others revisit it; a null page_id is never the smallest unless all are null.
     Null html is an empty payload, a null url an empty one; repeated rows are each written, with the
-    type of their page_id. Each attempt of a task writes archives of its own names, and only the
+    type of their page_id; an empty table gives no archives. Each attempt of a task writes archives of its own names, and only the
     manifest of the successful one counts.
     """
     spark = pages.sparkSession
@@ -276,8 +276,10 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archi
             end()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    joined = rows.join(firsts, "digest").select("page_id", "url", "payload", "digest", "first")
-    return materialize(joined.mapInArrow(run, MANIFEST), "archives")
+    # The aggregated side is dealt out anew by another form of its key, so that Spark can split a hot digest's rows over tasks.
+    firsts = firsts.withColumn("of", F.upper("digest")).drop("digest")
+    joined = rows.withColumn("of", F.upper("digest")).join(firsts, "of").select("page_id", "url", "payload", "digest", "first")
+    return materialize(joined.mapInArrow(lean(run), MANIFEST), "archives")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -297,4 +299,4 @@ def read(manifest: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return manifest.select("path").repartition(max(1, min(manifest.count(), 100_000)), "path").mapInArrow(run, RECORDS)
+    return manifest.select("path").repartition(max(1, min(manifest.count(), 100_000)), "path").mapInArrow(lean(run), RECORDS)
