@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship_code
+from tessera.llm.common import discard, lean, materialize, ship_code
 
 WINDOW = 10
-#: Words of one automaton; a larger benchmark is scanned in blocks of about this many words.
-BLOCK_WORDS = 1_000_000
+#: Words of one automaton, at most some 700 bytes each; a larger benchmark is scanned in blocks, one pass for each.
+BLOCK_WORDS = 200_000
 
 #: Words are runs of 0-9, a-z and anything beyond ASCII; A-Z are lower-cased.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -152,14 +154,81 @@ class SuffixAutomaton:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """One automaton for each block of items; a block's words are counted before it is gathered."""
+    """One automaton for each block of items, made when asked for."""
+    for rows in item_blocks(benchmark, block_words):
+        yield SuffixAutomaton(rows, window)
+
+
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of about `block_words` words, by hash; bytes are counted before a block is gathered."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2), F.lit(0.0))).first()[0]  # no more words than this
-    blocks = max(1, -(-int(total) // (4 * block_words)))
+    blocks = max(1, -(-int(total) // (2 * block_words)))  # some four bytes a word and more
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = [(r.item, normal_words(r.text.encode())) for r in part.toLocalIterator()]
-        yield SuffixAutomaton(sorted(rows), window)
+        yield sorted((r.item, normal_words(r.text.encode())) for r in part.toLocalIterator())
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish, schema: str) -> DataFrame:
+    """Runs `finish(batch, found)` on all rows: found gives the merged spans and the items of the k-th row of a batch.
+
+    With one block, documents are streamed through its automaton. With more, each block is a pass of its own over
+    the rows, so that a worker holds one automaton at a time; only rows that it hits are written, and all passes'
+    findings meet by row.
+    """
+    spark = docs.sparkSession
+    ship_code(spark)
+    text_at = docs.columns.index("text")
+    blocks = item_blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        model = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
+
+        def stream(batches):
+            for batch in batches:
+                texts = batch.column(text_at).to_pylist()
+                yield finish(batch, lambda k: model.value.scan(normal_words(encoded(texts[k]))))
+
+        return docs.mapInArrow(lean(stream), schema)
+
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for rows in chain((first, second), blocks):
+        model = spark.sparkContext.broadcast(SuffixAutomaton(rows, window))
+        parts.append(materialize(keyed.select("_row", "text").mapInArrow(lean(_hits(model)), "_row long, items array<string>, spans array<int>"), "hits"))
+        model.unpersist()
+    hits = reduce(DataFrame.union, parts).groupBy("_row").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+    joined = materialize(keyed.join(hits, "_row", "left").select(*docs.columns, "_items", "_spans"), "hit")
+    discard(keyed, *parts)
+
+    def merge(batches):
+        for batch in batches:
+            items, spans = (batch.column(k).to_pylist() for k in (-2, -1))
+            own = batch.select(batch.schema.names[:-2])
+            yield finish(own, lambda k: (union(pairs(spans[k] or [])), set(items[k] or [])))
+
+    return joined.mapInArrow(lean(merge), schema)
+
+
+def _hits(model):
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                spans, items = model.value.scan(normal_words(encoded(text)))
+                if spans:
+                    out.append((row, sorted(items), [x for s in spans for x in s]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())))], names=["_row", "items", "spans"])
+
+    return run
+
+
+def encoded(text: str | bytes | None) -> bytes | None:
+    return text.encode() if isinstance(text, str) else text
+
+
+def pairs(flat: list[int]) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -169,30 +238,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     and items without words occur nowhere; an empty benchmark hits nothing; equal items all count;
     repeated rows of documents all stay.
     """
-    spark = docs.sparkSession
-    ship_code(spark)
-    spread = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
 
-    def scan(batches):
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(1).to_pylist():
-                words = normal_words(text)
-                spans, items = [], set()
-                for one in spread:
-                    more, names = one.value.scan(words)
-                    spans += more
-                    items |= names
-                if len(spread) > 1:
-                    spans = union(spans)
-                out[0].append(len(words))
-                out[1].append(sum(b - a for a, b in spans))
-                out[2].append(sorted(items))
-                out[3].append([x for s in spans for x in s])
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(scan, MATCHES)
+    def finish(batch, found):
+        out: tuple[list, ...] = ([], [], [], [])
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            spans, items = found(k)
+            for column, x in zip(out, (len(normal_words(text)), sum(b - a for a, b in spans), sorted(items), [x for s in spans for x in s])):
+                column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return scanned(rows, benchmark, window, block_words, finish, MATCHES)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -227,32 +284,28 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """Removes the hit spans from texts and drops documents of which at least `coverage` is hit.
 
     Returns all columns of the documents, n_chars of changed texts counted anew where there is such a
-    column. Documents without a hit stay as they are, null and empty texts included.
+    column. Documents without a hit stay as they are, null and empty texts included;
+    repeated rows are treated alike; an empty table gives no rows, an empty benchmark changes nothing.
     """
-    spark = docs.sparkSession
-    ship_code(spark)
-    spread = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def scan(batches):
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            keep, changed = [], {}
-            for k, text in enumerate(texts):
-                words = normal_words(text.encode()) if text else []
-                spans = union([s for one in spread for s in one.value.scan(words)[0]])
-                hit = sum(b - a for a, b in spans)
-                if not hit:
-                    keep.append(k)
-                elif hit < coverage * len(words):
-                    keep.append(k)
-                    changed[k] = cut_spans(text, [x for s in spans for x in s])
-            columns = list(batch.columns)
-            if changed:
-                columns[text_at] = pa.array([changed.get(k, t) for k, t in enumerate(texts)], columns[text_at].type)
-                if chars_at is not None:
-                    columns[chars_at] = pa.array([len(changed[k]) if k in changed else n for k, n in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
-
-    return docs.mapInArrow(scan, schema)
+    def finish(batch, found):
+        texts = batch.column(text_at).to_pylist()
+        keep, changed = [], {}
+        for k, text in enumerate(texts):
+            spans, _ = found(k)
+            hit = sum(b - a for a, b in spans)
+            if not hit:
+                keep.append(k)
+            elif hit < coverage * len(normal_words(text.encode())):
+                keep.append(k)
+                changed[k] = cut_spans(text, [x for s in spans for x in s])
+        columns = list(batch.columns)
+        if changed:
+            columns[text_at] = pa.array([changed.get(k, t) for k, t in enumerate(texts)], columns[text_at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([len(changed[k]) if k in changed else n for k, n in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
+
+    return scanned(docs, benchmark, window, block_words, finish, docs.schema)

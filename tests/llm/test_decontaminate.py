@@ -48,6 +48,14 @@ def test_clean(spark):
     assert out[6, "Größe, ; "[:9]].text == "Größe, ; short item"
 
 
+def test_blocks_clean_alike(spark):
+    docs = spark.createDataFrame([(a, b, len(b or ""), "x") for a, b in DOCS], "doc_id long, text string, n_chars long, items string").repartition(3)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    key = lambda r: tuple(str(x) for x in r)
+    assert len(list(d.item_blocks(items, 2))) > 3
+    assert sorted(map(tuple, d.clean(docs, items, block_words=2).collect()), key=key) == sorted(map(tuple, d.clean(docs, items).collect()), key=key)
+
+
 def test_cut_spans():
     assert d.cut_spans("a, B c! d", [1, 3]) == "a, ! d"
     assert d.cut_spans("a b", [0, 2]) == ""
