@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, ship_code
+from tessera.llm.common import bounded_sample, lean, ship_code
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -29,8 +29,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}(?![A-Za-z0-9+/_=-])")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
-#: Training documents have one of these; scanning itself looks at all documents.
-HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "AKIA")
+#: Training documents have one of these, in either case, or a long run of hex digits; scanning itself looks at all documents.
+HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
+LONG_HEX = "[0-9a-f]{24}"
 TRAIN_DOCS = 4_000  # rows whose tokens are looked at for training
 TRAIN_EACH = 2_000  # credentials or ordinary tokens of a kind, at most
 ALPHA = 0.05
@@ -159,7 +160,7 @@ class Scanner:
         if not text:
             return []
         out = base_spans(text)
-        covered = [(a, b) for _, a, b, _ in out]
+        covered, k = merged(out), 0
         if self.automata and self.ordinary is not None:
             known = self.known
             for m in CANDIDATE.finditer(text):
@@ -167,12 +168,36 @@ class Scanner:
                     if len(known) >= KNOWN:
                         known.clear()
                     score = known[m[0]] = self.score(m[0])
-                if score < self.threshold or any(a < m.end() and m.start() < b for a, b in covered):
+                if score < self.threshold:
                     continue
-                out.append(("format", m.start(), m.end(), score))
+                while k < len(covered) and covered[k][1] <= m.start():
+                    k += 1
+                if k == len(covered) or m.end() <= covered[k][0]:
+                    out.append(("format", m.start(), m.end(), score))
         return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def merged(spans: Iterable[tuple]) -> list[tuple[int, int]]:
+    """The ranges that spans (kind, start, end, ...) cover, apart and in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s[1], s[2]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(tokens: Iterable[re.Match], covered: list[tuple[int, int]]) -> Iterable[str]:
+    """The tokens, which come in order, that meet no covered range."""
+    k = 0
+    for m in tokens:
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k == len(covered) or m.end() <= covered[k][0]:
+            yield m[0]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int, None]]:
     out = []
     if ":" in text or "=" in text:
@@ -198,7 +223,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_each: int = TRAIN_E
     """
     ship_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hinted = reduce(or_, [F.col("text").contains(h) for h in HINTS])
+    hinted = reduce(or_, [F.lower("text").contains(h) for h in HINTS]) | F.col("text").rlike(LONG_HEX)
     chosen = bounded_sample(rows.where(hinted & F.col("doc_id").isNotNull()).select("doc_id").distinct(), train_docs, "doc_id")
 
     def tokens(batches):
@@ -206,11 +231,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_each: int = TRAIN_E
             out = []
             for text in filter(None, batch.column(0).to_pylist()):
                 out += credentials(text)
-                hit = [(a, b) for _, a, b, _ in base_spans(text)]
-                out += {("", m[0]) for m in ORDINARY.finditer(text) if not any(a < m.end() and m.start() < b for a, b in hit)}
+                out += {("", t) for t in outside(ORDINARY.finditer(text), merged(base_spans(text)))}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], names=["kind", "token"])
 
-    found = rows.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(tokens, "kind string, token string")
+    found = rows.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(lean(tokens), "kind string, token string")
     counted = found.distinct()
     rank = F.row_number().over(_window())
     gathered = counted.withColumn("k", rank).where(F.col("k") <= train_each).orderBy("kind", "k").collect()
@@ -227,7 +251,11 @@ def _window():
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """All spans of every whole text, in code points, by start, then kind as listed; null text: none."""
+    """All spans of every whole text, in code points, by start, then kind as listed.
+
+    Null and empty texts have none; repeated rows all stay; an empty table gives no rows; of the other columns
+    only doc_id is carried.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     model = spark.sparkContext.broadcast(scanner)
@@ -239,7 +267,7 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
             found = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SPANS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SPANS)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -254,7 +282,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFrame:
-    """Texts with every span replaced by `mark`; all columns stay, n_chars of changed texts is counted anew."""
+    """Texts with every span replaced by `mark`; all rows and columns stay, n_chars of changed texts is counted anew.
+
+    Null texts stay null; repeated rows all stay; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     model = spark.sparkContext.broadcast(scanner)
@@ -280,4 +311,4 @@ def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFra
                     columns[chars_at] = pa.array([len(changed[k]) if k in changed else n for k, n in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

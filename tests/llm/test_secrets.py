@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,3 +80,30 @@ def test_short_formats_and_formats_without_digits_are_found(monkeypatch):
     assert [s[:3] for s in scanner.spans(text)] == want
     monkeypatch.setattr(secrets, "KNOWN", 1)
     assert [s[:3] for s in scanner.spans(text)] == want
+
+
+def test_planted_formats_are_found(spark):
+    """Recall on credentials without a name before them, of three formats that named ones teach; ordinary words stay."""
+    rng = random.Random(11)
+    formats = [lambda: "ghx_" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=36)), lambda: "SK" + "".join(rng.choices("0123456789", k=16)), lambda: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ", k=24))]
+    words = ["word", "another", "Thereof", "hyphen-ated", "file_name", "section", "chapter", "answer"]
+    docs, planted = [], {}
+    for k in range(300):
+        docs.append((k, " ".join(rng.choices(words, k=20)) + f" PASSWORD={formats[k % 3]()} " + " ".join(rng.choices(words, k=20))))
+    for k in range(300, 390):
+        planted[k] = formats[k % 3]()
+        docs.append((k, " ".join(rng.choices(words, k=30)) + f" {planted[k]} " + " ".join(rng.choices(words, k=30))))
+    docs += [(k, " ".join(rng.choices(words, k=60))) for k in range(390, 480)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: [t[s.start : s.end] for s in r.spans if s.kind == "format"] for r in secrets.scan(frame, secrets.fit(frame)).collect() for t in [docs[r.doc_id][1]]}
+    assert sum(planted[k] in found[k] for k in planted) >= 0.95 * len(planted)
+    assert not any(set(f) - set(planted.values()) for f in found.values())
+
+
+def test_many_secrets_in_a_long_text():
+    """Time follows the length of the text: candidates and base spans are walked together."""
+    scanner = secrets.Scanner({"assign": credentials(100, 1)}, ORDINARY)
+    text = " ".join(f"token={c} word-{k}" for k, c in enumerate(credentials(20_000, 5)))
+    began = time.process_time()
+    assert sum(s[0] == "assign" for s in scanner.spans(text)) == 20_000
+    assert time.process_time() - began < 10
