@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, ship_code
+from tessera.llm.common import bounded_sample, lean, ship_code
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -216,7 +216,10 @@ def answers(net: ByteNet | None, texts: list[str | None]):
 
 
 def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
-    """The language of every whole text: `und` and 0 for null, for a text without a letter, without a model."""
+    """The language of every whole text: `und` and 0 for null, for a text without a letter, without a model.
+
+    Repeated rows all stay, each with the same answer; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     spread = spark.sparkContext.broadcast(model)
@@ -228,11 +231,14 @@ def predict(docs: DataFrame, model: ByteNet | None) -> DataFrame:
                 langs[k], scores[k] = lang, score
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), PREDICTED)
 
 
 def keep(docs: DataFrame, model: ByteNet | None, min_score: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose language is told: not `und`, with a score of at least `min_score`."""
+    """The documents, all columns, whose language is told: not `und`, with a score of at least `min_score`.
+
+    So null texts and those without a letter go. Repeated rows all stay or all go; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     spread = spark.sparkContext.broadcast(model)
@@ -247,4 +253,4 @@ def keep(docs: DataFrame, model: ByteNet | None, min_score: float = 0.3) -> Data
                     good.append(k)
             yield batch.take(pa.array(sorted(good), pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
