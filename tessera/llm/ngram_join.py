@@ -381,10 +381,11 @@ def _labelled(docs: DataFrame, length: int) -> DataFrame:
     nodes = materialize(named.select("node", "row", F.coalesce("doc", "hash").alias("place"), "doc", "n"), "nodes")
     # The columns that two or more nodes have in their prefixes
     tokens = having.join(nodes.select("row"), "row", "left_semi").select("node", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    # Written first, so that its shuffle is gone when the columns are shuffled with their nodes.
+    often = materialize(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token"), "often")
     repeated = materialize(tokens.join(splittable(often, "token"), "token").select("token", "node"), "repeated")
     shared = materialize(enough(repeated, nodes), "columns")
-    discard(repeated)
+    discard(repeated, often)
     pairs, open_ = product(shared, nodes)
     discard(shared)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(open_.select("node")).distinct()
