@@ -7,7 +7,8 @@ whole-length windows around them are hashed and compared. `levels` goes on doubl
 candidates survive, to tell how long the longest repeats are.
 
 Before each shuffle a task keeps one row for each hash, its first place; what repeats within the task is
-settled there. So a window that a third of all documents have is as many rows as there are chunks.
+settled there. So a window that a third of all documents have is as many rows as there are chunks; these
+are aggregated before they meet, and joined back so that Spark can split them over tasks.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, ship_code
-from tessera.llm.hashing import MIX, chunks, doubled, fresh, mix, window_hashes, word_hashes
+from tessera.llm.common import discard, lean, materialize, ship_code, splittable
+from tessera.llm.hashing import MIX, chunks, doubled, mix, slices, split_words, window_hashes, word_hashes
 
 LENGTH = 20
 
@@ -32,14 +33,11 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 class Chunk:
     """Words of some documents in one array, with their windows of half and of whole length."""
 
-    def __init__(self, texts: list[bytes], length: int):
-        fresh()
-        split = [t.split() if t else [] for t in texts]
+    def __init__(self, texts: pa.Array, length: int):
         self.length, self.half = length, length // 2
-        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.words, self.sizes = split_words(texts)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.words = word_hashes([w for doc in split for w in doc])
-        self.doc = np.repeat(np.arange(len(split)), self.sizes)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         halves = window_hashes(self.words, self.half)
         whole = doubled(halves, self.half)
         n = len(whole)
@@ -93,15 +91,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
 
 
-def marks(docs: DataFrame, length: int) -> DataFrame:
-    """Half-length windows that repeat: (doc_id, pos); a text that an earlier document equals word by word: pos -1 and its text_hash."""
+def marks(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Half-length windows that repeat: (doc_id, pos); a text that an earlier document equals word by word: pos -1 and its text_hash.
+
+    The second table is what the first one reads.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = [(d, t, h) for d, t, h in zip(*(c.to_pylist() for c in batch.columns)) if d is not None and t]
-            for group in chunks(rows, lambda r: len(r[1])):
-                c = Chunk([t for _, t, _ in group], length)
-                ids, hashes = np.array([d for d, _, _ in group], np.int64), np.array([h for _, _, h in group], np.int64)
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                c = Chunk(part.column(1), length)
+                ids, hashes = part.column(0).to_numpy(), part.column(2).to_numpy()
                 at = np.unique(c.anchor)
                 pos = c.place(at)
                 doc = ids[c.doc[at]]
@@ -120,14 +121,19 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
                 use = lead | copy
                 tail = [np.where(copy, _scatter(own, own), sums[perm])[use], own[use], np.where(copy, -2, -1)[use], np.ones(int(use.sum()), np.int64)]
                 text_hash = pa.chunked_array([pa.nulls(len(pos), pa.int64()), pa.array(hashes[long][perm][use], pa.int64())]).combine_chunks()
-                keys, doc, pos, n = (np.concatenate([a, b]) for a, b in zip(out, tail))
+                keys, doc, pos, n = (np.concatenate([x, y]) for x, y in zip(out, tail))
                 yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(n.astype(np.int32), pa.int32()), text_hash], names=["key", "doc_id", "pos", "n", "text_hash"])
 
-    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), "text_hash")
-    same = Window.partitionBy("key", (F.col("pos") < 0))
-    found = raw.mapInArrow(run, MARKS).withColumns({"all": F.sum("n").over(same), "first": F.min("doc_id").over(same)})
-    copy = (F.col("pos") == -2) | ((F.col("pos") == -1) & (F.col("first") < F.col("doc_id")))
-    return found.where(copy | ((F.col("pos") >= 0) & (F.col("all") > 1))).select("doc_id", F.when(F.col("pos") < 0, -1).otherwise(F.col("pos")).alias("pos"), "text_hash")
+    raw = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "text_hash")
+    found = materialize(raw.mapInArrow(lean(run), MARKS), "halves")
+    # What repeats within its chunk is settled; of the others those whose key comes again. Keys are counted before they are joined back.
+    often = found.where("pos >= 0").groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
+    alone = found.where("pos >= 0 AND n = 1").join(splittable(often, "key"), "key")
+    earliest = found.where("pos = -1").groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = found.where("pos = -1").join(splittable(earliest, "key"), "key").where("first < doc_id")
+    names = ["doc_id", "pos", "text_hash"]
+    marked = found.where("pos >= 0 AND n > 1").select(names).union(alone.select(names)).union(copies.select(names)).union(found.where("pos = -2").select("doc_id", F.lit(-1), "text_hash"))
+    return marked, found
 
 
 def window_hashes_of(words: np.ndarray) -> np.uint64:
@@ -156,11 +162,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         whole = [(d, h, t) for d, h, t, p in group if p is None]
         if whole:
             ids, hashes = np.array([d for d, _, _ in whole]), np.array([h for _, h, _ in whole])
-            n = np.array([len(t.split()) for _, _, t in whole])
+            n = split_words(pa.array([t for _, _, t in whole], pa.string()))[1]
             add(_scatter(ids, hashes), ids, hashes, np.zeros(len(ids), np.int64), n)
         rest = [r for r in group if r[3] is not None]
         if rest:
-            c = Chunk([t for _, _, t, _ in rest], length)
+            c = Chunk(pa.array([t for _, _, t, _ in rest], pa.string()), length)
             good = np.zeros(len(c.words) + 1, bool)
             good[np.concatenate([c.starts[k] + p[p <= c.sizes[k]] for k, (_, _, _, p) in enumerate(rest)])] = True
             live = good[c.anchor]
@@ -184,14 +190,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys, ids, hashes, pos, stop = (np.concatenate(x) for x in out)
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(stop.astype(np.int32), pa.int32())], names=["key", "doc_id", "text_hash", "pos", "stop"])
 
+    marked, halves = marks(docs, length)
     windows = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos")))).alias("marks")
-    by_doc = marks(docs, length).groupBy("doc_id").agg(windows, F.collect_set(F.when(F.col("pos") < 0, F.col("text_hash"))).alias("copies"))
-    # Not an inner join: so this join and that in dedup() share one shuffle of the texts.
-    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), "marks", F.array_contains("copies", F.col("text_hash")).alias("copy"))
-    found = joined.mapInArrow(run, WINDOWS)
-    first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("key"))
-    judged = found.withColumn("first", first).where((F.col("stop") >= 0) | (F.struct("doc_id", "pos") > F.col("first")))
-    return judged.select("doc_id", "text_hash", F.col("pos").alias("start"), F.when(F.col("stop") < 0, F.col("pos") + length).otherwise(F.col("stop")).alias("stop"))
+    by_doc = marked.groupBy("doc_id").agg(windows, F.collect_set(F.when(F.col("pos") < 0, F.col("text_hash"))).alias("copies"))
+    joined = docs.join(by_doc, "doc_id").select("doc_id", "text_hash", "text", "marks", F.array_contains("copies", F.col("text_hash")).alias("copy"))
+    found = materialize(joined.mapInArrow(lean(run), WINDOWS), "windows")
+    discard(halves)
+    earliest = found.where("stop < 0").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    later = found.where("stop < 0").join(splittable(earliest, "key"), "key").where(F.struct("doc_id", "pos") > F.col("first"))
+    judged = found.where("stop >= 0").select("doc_id", "text_hash", F.col("pos").alias("start"), "stop")
+    return judged.union(later.select("doc_id", "text_hash", "pos", F.col("pos") + length))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -203,7 +211,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
 
     `with_text` adds the kept words. Null text has no words. A row with a null doc_id has no place in the
     order and stays whole. Repeated rows share their places, so neither is earlier and both stay alike;
-    of different texts under one doc_id, the earlier place wins. Windows are judged on the input.
+    of different texts under one doc_id, the earlier place wins. Windows are judged on the input. An empty table gives no rows.
     """
     if length < 2 or length % 2:
         raise ValueError("length must be even, 2 or more")
@@ -230,7 +238,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(out[3], pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
-    return joined.mapInArrow(run, RESULT + ", kept string" * with_text)
+    return joined.mapInArrow(lean(run), RESULT + ", kept string" * with_text)
 
 
 def levels(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -248,7 +256,7 @@ def levels(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 h = doubled(window_hashes(word_hashes(text.split()), length // 2), length // 2)
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array([doc] * len(h), pa.int64()), pa.array([text_hash] * len(h), pa.int64()), pa.array(np.arange(len(h), dtype=np.int32))], names=["key", "doc_id", "text_hash", "pos"])
 
-    live, out, size = rows.mapInArrow(run, "key long, doc_id long, text_hash long, pos int"), [], length
+    live, out, size = rows.mapInArrow(lean(run), "key long, doc_id long, text_hash long, pos int"), [], length
     while True:
         many = live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         live = materialize(live.join(many.select("key"), "key"), "level")
