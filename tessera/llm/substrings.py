@@ -190,16 +190,21 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys, ids, hashes, pos, stop = (np.concatenate(x) for x in out)
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pos.astype(np.int32), pa.int32()), pa.array(stop.astype(np.int32), pa.int32())], names=["key", "doc_id", "text_hash", "pos", "stop"])
 
+    # Each step is written, so that the shuffles of one are gone when the next one's begin.
     marked, halves = marks(docs, length)
+    marked = materialize(marked, "marks")
+    discard(halves)
     windows = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos")))).alias("marks")
     by_doc = marked.groupBy("doc_id").agg(windows, F.collect_set(F.when(F.col("pos") < 0, F.col("text_hash"))).alias("copies"))
     joined = docs.join(by_doc, "doc_id").select("doc_id", "text_hash", "text", "marks", F.array_contains("copies", F.col("text_hash")).alias("copy"))
     found = materialize(joined.mapInArrow(lean(run), WINDOWS), "windows")
-    discard(halves)
+    discard(marked)
     earliest = found.where("stop < 0").groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     later = found.where("stop < 0").join(splittable(earliest, "key"), "key").where(F.struct("doc_id", "pos") > F.col("first"))
     judged = found.where("stop >= 0").select("doc_id", "text_hash", F.col("pos").alias("start"), "stop")
-    return judged.union(later.select("doc_id", "text_hash", "pos", F.col("pos") + length))
+    spans = materialize(judged.union(later.select("doc_id", "text_hash", "pos", F.col("pos") + length)), "spans")
+    discard(found)
+    return spans
 
 
 def _rows(docs: DataFrame) -> DataFrame:
