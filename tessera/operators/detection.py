@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,9 @@ def frame_statistics(frames, value: str = "map") -> DataFrame:
     """Mean, population deviation, extremes and median over frames, of a table or of its groups; a missing frame counts as 0 before this."""
     v = F.col(value)
     return frames.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"), F.median(v).alias("median"), F.count("*").alias("frames"))
+
+
+def step_integral(points: DataFrame, group: str, order: str, x: str, y: str) -> DataFrame:
+    """(group, area): the sum over points in order of the step in x, from 0 at first, times y."""
+    before = F.coalesce(F.lag(x).over(Window.partitionBy(group).orderBy(order)), F.lit(0.0))
+    return points.withColumn("step", F.col(x) - before).groupBy(group).agg(F.sum(F.col("step") * F.col(y)).alias("area"))

@@ -6,6 +6,7 @@ import struct
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def encode_streams(labels: DataFrame, pmf: DataFrame, precision: int = PRECISION
     A stream is sequential, so it is one task's work; streams are spread over tasks.
     """
     tables = {r.g: quantised_cdf([p for _, p in sorted(r.rows)], precision) for r in pmf.groupBy("g").agg(F.collect_list(F.struct("label", "p")).alias("rows")).collect()}
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["g"].iloc[0])
         symbols = pdf.sort_values("n")["label"].astype(int).tolist()
@@ -99,6 +98,17 @@ def encode_streams(labels: DataFrame, pmf: DataFrame, precision: int = PRECISION
     return labels.select("stream_id", "g", "n", "label").groupBy("stream_id", "g").applyInPandas(run, "stream_id long, g int, payload binary")
 
 
+def decode_streams(streams: DataFrame, pmf: DataFrame, precision: int = PRECISION) -> DataFrame:
+    """Rows (stream_id, g, payload, labels) with `decoded`: as many labels of the payload as `labels` has."""
+    tables = {r.g: quantised_cdf([p for _, p in sorted(r.rows)], precision) for r in pmf.groupBy("g").agg(F.collect_list(F.struct("label", "p")).alias("rows")).collect()}
+
+    @F.pandas_udf("array<int>")
+    def read(payload: pd.Series, g: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([decode(p, k, tables[c], precision) for p, c, k in zip(payload, g, n)])
+
+    return streams.withColumn("decoded", read("payload", "g", F.size("labels")))
+
+
 def softmax_prior(logits: DataFrame) -> DataFrame:
     """(g, label, p, log2_p) of learned logits (g, label, logit)."""
     group = Window.partitionBy("g")

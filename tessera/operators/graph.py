@@ -22,10 +22,12 @@ def transition(edges: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seed: int = 0, beta: float = 0.1, rounds: int = 10, eps: float | None = 1e-3, cut_every: int = 4) -> DataFrame:
     """(graph_id, node, score) after s <- beta * seed + (1 - beta) * A's, from the seed.
 
-    With `eps`, stops when every graph's scores moved by less in sum. Scores are written to the shared
-    folder every few rounds, which cuts the lineage and survives lost executors.
+    With `eps`, stops when every graph's scores moved by less in sum. The transitions are written to the shared
+    folder once, scores every few rounds, which cuts the lineage and survives lost executors.
     """
-    steps = transition(edges)
+    if rounds < 1 or not 0.0 < beta <= 1.0 or (eps is not None and eps <= 0.0):
+        raise ValueError("rounds and eps must be positive, beta in (0, 1]")
+    steps = materialize(transition(edges), "transitions")
     nodes = steps.select("graph_id", F.col("src").alias("node")).union(steps.select("graph_id", F.col("dst").alias("node"))).distinct()
     at_seed = (F.col("node") == seed).cast("double")
     scores = nodes.withColumn("score", at_seed)
@@ -50,11 +52,27 @@ def kept_count(tokens: Column, ratio: float) -> Column:
 
 def top_tokens(scores: DataFrame, ratio: float) -> DataFrame:
     """(graph_id, node): the class token 0 and the best patches, in order of node; all, where all are kept."""
+    if not 0.0 < ratio <= 1.0:
+        raise ValueError("the ratio must be in (0, 1]")
     group = Window.partitionBy("graph_id")
     ranked = scores.withColumn("n", F.count("*").over(group)).withColumn("place", F.row_number().over(group.orderBy(F.col("node") == 0, F.desc("score"), "node")))
     return ranked.where((F.col("node") == 0) | (F.col("place") <= kept_count(F.col("n"), ratio))).select("graph_id", "node")
 
 
+def checked_tokens(tokens: DataFrame) -> DataFrame:
+    """(graph_id, node, original): tokens as they are, an error for a graph without a patch, a negative or a repeated original place.
+
+    Node 0 is the class token, whose original place isn't looked at.
+    """
+    patch = F.col("node") > 0
+    sums = tokens.groupBy("graph_id").agg(
+        F.sum(patch.cast("int")).alias("patches"), F.min(F.when(patch, F.col("original"))).alias("low"), F.count_distinct(F.when(patch, F.col("original"))).alias("places")
+    )
+    bad = F.when(F.col("patches") < 1, "a graph needs a patch").when(F.col("low") < 0, "original places must not be negative").when(F.col("places") < F.col("patches"), "original places must not repeat")
+    good = sums.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True)).select("graph_id")
+    return tokens.join(good, "graph_id", "left_semi")
+
+
 def multiview_index(view: Column, patch: Column, patches: int) -> Column:
     return view * patches + patch
 

@@ -42,6 +42,31 @@ def class_iou(matrix: DataFrame) -> DataFrame:
     return sums.withColumn("iou", F.when(union > 0, F.col("tp") / union))
 
 
+def parts_iou(rows: DataFrame, pred: str, gt: str, parts: int = 6, ignore: int = 255) -> DataFrame:
+    """Mean IoU in percent over the background and `parts` parts; an absent part counts as 0, pixels of `ignore` don't count."""
+    each = []
+    for k in range(parts + 1):
+        p, g = F.col(pred) == k, F.col(gt) == k
+        union = F.sum((p | g).cast("int"))
+        each.append(F.coalesce(F.sum((p & g).cast("int")), F.lit(0)) / F.greatest(F.coalesce(union, F.lit(0)).cast("double"), F.lit(1e-8)))
+    total = each[0]
+    for one in each[1:]:
+        total = total + one
+    return rows.where(F.col(gt) != ignore).agg((100 * total / (parts + 1)).alias("miou"))
+
+
+#: Which metrics a task has.
+TASK_METRICS = {
+    "semseg": ("miou",), "human_parts": ("miou",), "sal": ("maxf", "miou"), "edge": ("loss",), "normals": ("mean_angle",), "depth": ("rmse", "abs_rel"), "cls": ("top1", "top5"),
+}
+
+
+def metrics_of(task: str) -> tuple[str, ...]:
+    if task not in TASK_METRICS:
+        raise ValueError(f"no metric for task {task!r}")
+    return TASK_METRICS[task]
+
+
 def mean_iou(matrix: DataFrame) -> DataFrame:
     """A fraction; classes with an empty union are left out."""
     return class_iou(matrix).agg(F.avg("iou").alias("miou"))

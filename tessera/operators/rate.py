@@ -60,8 +60,11 @@ def bits_per_feature_value(bits: Column, values: Column) -> Column:
     return F.sum(bits) / F.sum(values)
 
 
-def grouping_row(kept: Column, tokens: Column, feature_bits: Column, map_bits: Column, dims: Column, dense_bits: Column) -> dict[str, Column]:
-    """Rates of a token grouping, by value of the dense feature."""
+def grouping_row(kept: Column, tokens: Column, feature_bits: Column, map_bits: Column, dims: Column, dense_bits: Column, strict: bool = True) -> dict[str, Column]:
+    """Rates of a token grouping, by value of the dense feature; with `strict`, counts that can't be are an error."""
+    if strict:
+        sound = (tokens > 0) & (kept > 0) & (kept <= tokens)
+        tokens = F.when(sound, tokens).otherwise(F.raise_error(F.lit("impossible token counts")).cast("long"))
     numel = tokens * dims
     total = feature_bits + map_bits
     return {
@@ -70,6 +73,19 @@ def grouping_row(kept: Column, tokens: Column, feature_bits: Column, map_bits: C
     }
 
 
+def with_original_size(samples: DataFrame, h: str = "h", w: str = "w") -> DataFrame:
+    """Samples whose original size, the denominator of bpp, is set to their size of now."""
+    return samples.withColumns({"ori_h": F.col(h), "ori_w": F.col(w)})
+
+
+def weighted_losses(bpp: Column, terms: dict[str, Column], rate_weight: float = 1.0, weights: dict[str, float] | None = None) -> Column:
+    """Rate times its weight and the terms, each by its own weight (1 where none is given)."""
+    total = rate_weight * bpp
+    for name, term in terms.items():
+        total = total + (weights or {}).get(name, 1.0) * term
+    return total
+
+
 def bits_per_token(feature_bits: Column, kept: Column) -> Column:
     """Feature bits by kept token and the class token; an error where they don't divide."""
     return F.when(feature_bits % (kept + 1) == 0, (feature_bits / (kept + 1)).cast("long")).otherwise(F.raise_error(F.lit("feature bits don't divide by tokens")).cast("long"))

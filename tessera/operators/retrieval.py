@@ -139,3 +139,10 @@ def vehicle_groups_are_pure(images: DataFrame, views: int = 3) -> Column:
     """Whether every `views` neighbouring query rows are one identity: one row with the verdict and the starts."""
     blocks = images.withColumn("block", F.floor(F.col("img_idx") / views)).groupBy("block").agg(F.count_distinct("pid").alias("pids"), F.min("img_idx").alias("start"))
     return blocks.agg(F.max("pids").alias("most"), F.sort_array(F.collect_list("start")).alias("starts"))
+
+
+def random_per_class(rows: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
+    """`n` rows of each class, drawn by a hash of seed and key: the same draw on any cluster, another one for another seed."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    ranked = rows.withColumn("drawn", F.row_number().over(Window.partitionBy(label).orderBy(draw, key)))
+    return ranked.where(F.col("drawn") <= n)  # each task keeps its own first n before the shuffle

@@ -181,6 +181,16 @@ def rans_streams(spark, sf_dir):
     return entropy.encode_streams(labels, _pmf(spark, sf_dir)).select("stream_id", "g", F.hex("payload").alias("payload"), F.octet_length("payload").alias("bytes"))
 
 
+@query("SELECT CAST(floor(vec_id / 50) AS BIGINT) AS stream_id, g::INTEGER AS g, count(*) AS n, TRUE AS round_trip FROM embeddings, range(8) t(g) GROUP BY 1, 2")
+def rans_round_trip(spark, sf_dir):
+    """Streams written and read back: the labels come out as they went in."""
+    labels = _assigned(spark, sf_dir).select(F.floor(F.col("vec_id") / 50).alias("stream_id"), "g", F.col("vec_id").alias("n"), "label")
+    pmf = _pmf(spark, sf_dir)
+    want = labels.groupBy("stream_id", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda x: x["label"].cast("int")).alias("labels"))
+    joined = entropy.encode_streams(labels, pmf).join(want, ["stream_id", "g"])
+    return entropy.decode_streams(joined, pmf).select("stream_id", "g", F.size("labels").cast("long").alias("n"), (F.col("labels") == F.col("decoded")).alias("round_trip"))
+
+
 @query("SELECT label, CAST(sum(length(embedding) * 16) AS BIGINT) AS bits, CAST(sum(length(embedding) * 16) AS BIGINT) AS payload_bits FROM embeddings GROUP BY label")
 def raw_dtype_bits(spark, sf_dir):
     from tessera.functions import wire
