@@ -206,7 +206,7 @@ def test_index_set_choice_and_damage(spark):
 # Graphs
 
 
-@pytest.mark.parametrize("ratio", [0.0, 0.5, 0.9])
+@pytest.mark.parametrize("ratio", [1.0 - rho for rho in (0.0, 0.5, 0.9)])  # a ratio of 0 is refused, see test_parity
 def test_propagation(spark, ratio):
     rng = np.random.default_rng(5)
     w = rng.random((2, 4, 17, 17))
