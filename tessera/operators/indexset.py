@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,12 +42,12 @@ def encode(indices: Iterable[int], universe: int) -> bytes:
     coding = "index" if payload_size("index", len(found), universe) < payload_size("bitmap", 0, universe) else "bitmap"
     size = payload_size(coding, len(found), universe)
     if coding == "bitmap":
-        payload = sum(1 << i for i in found).to_bytes(size, "little")
+        marks = np.zeros(8 * size, np.uint8)
+        marks[found] = 1
+        payload = np.packbits(marks, bitorder="little").tobytes()
     else:
-        width, bits = width_of(universe), 0
-        for i in found:
-            bits = bits << width | i
-        payload = (bits << 8 * size - width * len(found)).to_bytes(size, "big")
+        shifts = np.arange(width_of(universe) - 1, -1, -1)
+        payload = np.packbits((np.array(found, np.int64)[:, None] >> shifts & 1).astype(np.uint8)).tobytes()
     return HEADER.pack(MAGIC, CODINGS.index(coding), universe, len(found)) + payload
 
 
@@ -63,15 +64,13 @@ def decode(stream: bytes) -> tuple[list[int], int, str]:
     if universe <= 0 or count > universe or len(payload) != payload_size(coding, count, universe):
         raise ValueError("length doesn't fit")
     if coding == "bitmap":
-        bits = int.from_bytes(payload, "little")
-        found = [i for i in range(len(payload) * 8) if bits >> i & 1]
+        found = np.flatnonzero(np.unpackbits(np.frombuffer(payload, np.uint8), bitorder="little")).tolist()
     else:
         width = width_of(universe)
-        pad = 8 * len(payload) - width * count
-        bits = int.from_bytes(payload, "big")
-        if bits & (1 << pad) - 1:
+        bits = np.unpackbits(np.frombuffer(payload, np.uint8)).astype(np.int64)
+        if bits[width * count :].any():
             raise ValueError("padding isn't zero")
-        found = [bits >> pad + width * k & (1 << width) - 1 for k in reversed(range(count))]
+        found = (bits[: width * count].reshape(count, width) @ (1 << np.arange(width - 1, -1, -1))).tolist()
     if len(validate(found, universe)) != count:
         raise ValueError("count doesn't fit")
     return found, universe, coding

@@ -167,7 +167,7 @@ def procrustes(cross: np.ndarray) -> np.ndarray:
 def learn_rotation(vectors: DataFrame, groups: int, words: int, rounds: int = 5, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, float]:
     """Alternates product quantisation and Procrustes steps; the best rotation, its codebooks and its mean squared error.
 
-    Sums run over all vectors; only dims^2 numbers and the codebooks come to the driver.
+    The first words are the vectors of the smallest hashes, so a run can be repeated. Sums run over all vectors; only dims^2 numbers and the codebooks come to the driver.
     """
     import pyarrow as pa
 
@@ -175,7 +175,7 @@ def learn_rotation(vectors: DataFrame, groups: int, words: int, rounds: int = 5,
     width = dims // groups
     _, _, covariance = moments(vectors, dims, vec)
     rotation = pca_rotation(covariance, groups)
-    first = np.array([r[0] for r in vectors.select(vec).limit(words).collect()], float)
+    first = np.array([r[0] for r in vectors.select(vec).orderBy(F.xxhash64(vec), vec).limit(words).collect()], float)
     best, last = (rotation, first, np.inf), np.inf
     for step in range(rounds):
         turned = rotate(vectors.select(F.col(vec).alias("vec")), rotation)

@@ -29,6 +29,7 @@ def register(name: str) -> Callable[[Callable], Callable]:
 
 def resolve(name: str) -> Callable:
     """A registered builder, or the attribute of a dotted path."""
+    importlib.import_module("tessera.plans.codecs")  # registers the codecs that need operators
     if name in _registered:
         return _registered[name]
     module, _, attribute = name.rpartition(".")

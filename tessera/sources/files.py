@@ -85,8 +85,11 @@ def yuv420_frames(spark: SparkSession, path: str, h: int, w: int) -> DataFrame:
     """(path, frame_idx, y, u, v) of raw 8-bit 4:2:0 files; a cut-off frame at the end is left out."""
     size = h * w * 3 // 2
     rows = spark.read.format("binaryFile").load(path)
-    each = rows.select("path", "content", F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / size).cast("int") - 1)).alias("frame_idx")).where("frame_idx >= 0")
-    at = lambda start, n: F.substring(F.col("content"), F.col("frame_idx") * size + start + 1, F.lit(n))
+    # The frames are cut out before they become rows, so that no row holds more than its own.
+    places = F.filter(F.sequence(F.lit(0), F.floor(F.length("content") / size).cast("int")), lambda k: k < F.floor(F.length("content") / size))
+    frames = F.transform(places, lambda k: F.substring(F.col("content"), k * size + 1, F.lit(size)))
+    each = rows.select("path", F.posexplode(frames).alias("frame_idx", "frame"))
+    at = lambda start, n: F.substring("frame", start + 1, n)
     return each.select("path", "frame_idx", at(0, h * w).alias("y"), at(h * w, h * w // 4).alias("u"), at(h * w + h * w // 4, h * w // 4).alias("v"))
 
 
