@@ -13,16 +13,17 @@ from tessera.plans.registry import query, sql_distance, table
 
 GROUPS, WORDS, DIMS = 8, 16, 64
 WIDTH = DIMS // GROUPS
+PART = f"{{}}[g * {WIDTH} + 1 : g * {WIDTH} + {WIDTH}]"
 SCALED = "list_transform(v, lambda x: (x - mu) / sd)"
 
 
 @query(
     f"""WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS mu FROM embeddings),
     b AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: (x - mu) * (x - mu))) / {DIMS} + 1e-5::DOUBLE) AS sd FROM a),
-    z AS (SELECT vec_id, sd, list_reverse({SCALED}) AS z FROM b),
+    z AS (SELECT vec_id, mu::FLOAT::DOUBLE AS mu, sd::FLOAT::DOUBLE AS sd, list_reverse(v) AS v, list_reverse({SCALED}) AS z FROM b),
     words AS (SELECT g, k, list_transform(range({WIDTH}), lambda i: ((k * 7 + g * 3 + i * 5) % 11 - 5) / 3.0::DOUBLE) AS w FROM range({GROUPS}) x(g), range({WORDS}) y(k)),
-    best AS (SELECT vec_id, sd, g, min({sql_distance(f"z[g * {WIDTH} + 1 : g * {WIDTH} + {WIDTH}]", "w")}) AS d FROM z, words GROUP BY 1, 2, 3)
-    SELECT vec_id, round(sum(d) * any_value(sd) * any_value(sd) / {DIMS}, 6) AS mse, 96::BIGINT AS side_bits, {GROUPS}::BIGINT AS label_streams FROM best GROUP BY 1"""
+    best AS (SELECT vec_id, g, any_value(mu) AS mu, any_value(sd) AS sd, any_value({PART.format("v")}) AS v, arg_min(w, {sql_distance(PART.format("z"), "w")}) AS w FROM z, words GROUP BY 1, 2)
+    SELECT vec_id, round(sum({sql_distance("list_transform(w, lambda x: x * sd + mu)", "v")}) / {DIMS}, 6) AS mse, 96::BIGINT AS side_bits, {GROUPS}::BIGINT AS label_streams FROM best GROUP BY 1"""
 )
 def product_codec(spark, sf_dir):
     """Vectors through normalisation, a rotation, codebooks, range coding and back: error, and bits of side information."""
@@ -45,13 +46,13 @@ POINTS = (-0.2, -0.05, 0.0, 0.05, 0.1, 0.3)
 
 
 @query(
-    f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: list_extract({list(POINTS)}::DOUBLE[], greatest(1, len(list_filter({list(POINTS)}::DOUBLE[], lambda p: p <= x::DOUBLE)))))), 6) AS total,
+    f"""SELECT vec_id, CAST(round(20 * list_sum(list_transform(embedding, lambda x: list_extract({list(POINTS)}::DOUBLE[], greatest(1, len(list_filter({list(POINTS)}::DOUBLE[], lambda p: p <= x::DOUBLE))))))) AS BIGINT) AS total,
     {8 * DIMS}::BIGINT AS bits FROM embeddings"""
 )
 def nonlinear_codec(spark, sf_dir):
-    """Vectors as numbers of quantisation points and back."""
+    """Vectors as numbers of quantisation points and back; sums in steps of the points."""
     samples = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    bits, sums = plan.evaluate(samples, plan.build({"type": "nonlinear", "points": POINTS}), lambda rows: rows.select("sample_id", F.round(F.aggregate("pred_vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total")))
+    bits, sums = plan.evaluate(samples, plan.build({"type": "nonlinear", "points": POINTS}), lambda rows: rows.select("sample_id", F.round(20 * F.aggregate("pred_vec", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total")))
     return sums.join(bits.select("sample_id", F.col("bits").cast("long").alias("bits")), "sample_id").withColumnRenamed("sample_id", "vec_id")
 
 
