@@ -172,7 +172,9 @@ def yuv_combined(y: Column, u: Column, v: Column) -> Column:
 
 
 def ms_ssim_db(x: Column) -> Column:
-    return -10 * F.log10(1 - x)
+    """Infinite at 1 and NaN beyond it, as IEEE logarithms are; Spark's log10 is null there, which means would pass over."""
+    left = 1 - x
+    return -10 * F.when(left < 0, float("nan")).when(left == 0, float("-inf")).otherwise(F.log10(left))
 
 
 def two_level_mean(frames: DataFrame, sequence: str, names) -> DataFrame:

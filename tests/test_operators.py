@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -384,6 +385,17 @@ def test_detection_frames(spark):
 # Geometry, video, joins
 
 
+def test_ms_ssim_db_beyond_one(spark, tmp_path):
+    """A similarity of 1 or more shows in its group's mean, as in the SQL."""
+    rows = [("a", 250.0), ("a", 560.21), ("b", 250.0), ("b", 500.0), ("c", 250.0), ("c", None), ("d", None), ("e", float("nan")), ("f", 500.0), ("f", 560.21)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = {k: str(v) for k, v in con.execute(catalogue.ORACLE_SQL["ms_ssim_db"]).fetchall()}
+    got = {r.event_type: str(r.db) for r in catalogue.QUERIES["ms_ssim_db"](spark, str(tmp_path)).collect()}
+    assert got == want == {"a": "nan", "b": "inf", "c": "3.0103", "d": "None", "e": "nan", "f": "nan"}
+
+
 def test_crops_cover_and_fuse(spark):
     images = spark.createDataFrame([(1, 100, 70), (2, 10, 10)], "sample_id long, h int, w int")
     crops = geometry.crop_grid(images, 64, 48).collect()
