@@ -406,6 +406,17 @@ def test_crops_cover_and_fuse(spark):
     assert geometry.decode_task(fused).first().label == 0
 
 
+def test_crop_fusion_needs_no_join(spark, tmp_path):
+    """Sizes travel with the crops: no table of images in the driver, and images that repeat an id meet their own crops only."""
+    spark.createDataFrame([(1, 40), (1, 7), (2, 1), (3, 50)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    df = catalogue.QUERIES["crop_fusion"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalogue.ORACLE_SQL["crop_fusion"]).fetchall())
+    plan = df._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
 def test_video_schedule(spark):
     frames = spark.createDataFrame([(1, i) for i in range(20)], "sequence long, frame_idx long")
     got = {r.frame_idx: r for r in video.schedule(frames, 8, 5, 30).collect()}
