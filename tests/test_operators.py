@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tessera.operators import detection, entropy, geometry, graph, indexset, metrics, normalise, rate, relational, retrieval, video, vq
+from tessera.operators import detection, entropy, geometry, graph, indexset, metrics, neighbours, normalise, rate, relational, retrieval, video, vq
 from tessera.plans import catalogue
 
 # Rates
@@ -318,6 +318,55 @@ def test_reciprocal_pairs_cross_labels(spark, sf):
     assert len(ranked) == n * (len(ids) - n) and any(label[r.i] != label[r.j] for r in ranked)
 
 
+@pytest.mark.parametrize("name", ["k_reciprocal_neighbors"])
+def test_reranking_of_copies_and_single_vectors(spark, tmp_path, name):
+    """Labels of one vector or of copies only have no largest distance to divide by; vectors without a label meet nothing by label."""
+    rng = random.Random(3)
+    rows = [(k, [1.0, 2.0], 1) for k in range(5)] + [(8, [3.0, 4.0], 2), (9, [5.0, 0.0], None)]
+    rows += [(20 + k, [rng.choice([0.0, 0.5, 1.0]), rng.random()], 3) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    text = lambda rows: sorted(str(tuple(r)).replace("-0.0)", "0.0)") for r in rows)  # noqa: E731  (zeros have a sign by the order of sums)
+    assert text(df.collect()) == text(con.execute(catalogue.ORACLE_SQL[name]).fetchall())
+    assert "Join" not in df._jdf.queryExecution().toString() or name.startswith("k_")  # no join for the pairs of the result
+
+
+@given(st.lists(st.lists(st.sampled_from([0.0, 0.1, 0.2, 0.3, 1.0, 1e3, 1e3 + 1e-9]), min_size=3, max_size=3), min_size=1, max_size=40), st.integers(1, 5), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_nearest_by_blocks(rows, k, size):
+    """Whatever the blocks, copies and values that differ by rounding alone: the order of sums taken element by element."""
+    x = np.array(rows)
+    d = np.zeros((len(x), len(x)))
+    for c in x.T:
+        d += (c[:, None] - c[None, :]) ** 2
+    near = neighbours.Nearest(np.ascontiguousarray(x.T), k)
+    ids = np.arange(len(x)) * 3
+    for a in range(0, len(x), size):
+        near.meet(ids[a : a + size], np.ascontiguousarray(x[a : a + size].T))
+    got = near.rows(ids).to_pydict()
+    with np.errstate(invalid="ignore"):
+        scaled = d / d.max(axis=1)[:, None]
+    want = [(3 * i, 3 * int(j), r + 1) for i in range(len(x)) for r, j in enumerate(np.lexsort((ids, scaled[i]))[:k])]
+    assert list(zip(got["i"], got["j"], got["rank"])) == want
+    assert str(got["d"]) == str([float(scaled[i // 3, j // 3]) for i, j, _ in want])
+
+
+def test_neighbours_over_several_blocks(spark):
+    """1,500 vectors of a group and 40 of another, some of them copies, against all pairs; what blocks can't hold goes by all pairs."""
+    rng = np.random.default_rng(5)
+    rows = [(("a", "b")[k >= 1500], k, [float(v) for v in (rng.random(4) if k % 50 else (1, 2, 3, 4))], k % 4 == 0) for k in range(1540)]
+    frame = lambda r: spark.createDataFrame(r, "group string, id long, vec array<double>, query boolean")
+    vectors = frame(rows)
+    assert neighbours.regular(vectors)
+    got = {(r.i, r.j) for r in retrieval.reciprocal_vectors(vectors, 6).collect()}
+    assert got == {(r.i, r.j) for r in retrieval.reciprocal(retrieval.scaled(retrieval.group_pairs(vectors)), 6).collect()}
+    for odd in ([("a", 0, [0.0] * 4, True)], [("a", 9000, [0.0, None, 0.0, 0.0], True)], [("a", 9000, [0.0], True)], [("a", 9000, [float("inf")] * 4, True)], [("a", 9000, None, True)], [("a", None, [0.0] * 4, True)]):
+        assert not neighbours.regular(frame(rows[:9] + odd))
+    assert not neighbours.regular(frame([])) and retrieval.reciprocal_vectors(frame([]), 6).count() == 0
+
+
 def test_queries_are_in_each_others_gallery(spark, tmp_path):
     rows = [(0, [0.0, 0.0], 1), (50, [0.1, 0.0], 1), (3, [5.0, 0.0], 2)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
