@@ -318,7 +318,7 @@ def test_reciprocal_pairs_cross_labels(spark, sf):
     assert len(ranked) == n * (len(ids) - n) and any(label[r.i] != label[r.j] for r in ranked)
 
 
-@pytest.mark.parametrize("name", ["k_reciprocal_neighbors", "k_reciprocal_neighbors_all", "jaccard_rerank"])
+@pytest.mark.parametrize("name", ["k_reciprocal_neighbors", "k_reciprocal_neighbors_all", "jaccard_rerank", "jaccard_rerank_all"])
 def test_reranking_of_copies_and_single_vectors(spark, tmp_path, name):
     """Labels of one vector or of copies only have no largest distance to divide by; vectors without a label meet nothing by label."""
     rng = random.Random(3)
