@@ -101,6 +101,16 @@ def test_order_of_columns_changes_nothing(spark, monkeypatch):
     assert run(spark, docs) == plain.joined(docs)
 
 
+@pytest.mark.parametrize("misled", [False, True])
+def test_sample_decides_no_result(spark, monkeypatch, misled):
+    """Without any sample, and with one whose counts are made up."""
+    docs = corpus(5, families=3)
+    found = np.unique(np.concatenate([np.array(sorted(s), np.uint64) for s in ngram_join.sets_of(ngram_join.pa.array([t for _, t in docs if t]))]))
+    counts = np.random.default_rng(1).integers(1, 1000, len(found)) if misled else np.zeros(0, np.int64)
+    monkeypatch.setattr(ngram_join, "order_of", lambda docs, length: ngram_join.Order(found if misled else found[:0], counts))
+    assert run(spark, docs) == plain.joined(docs)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"t{k}" for k in range(40))
     frame = spark.createDataFrame([(4, text), (4, text), (2, text), (None, text), (None, ""), (9, "other words stand here alone")], "doc_id long, text string")
