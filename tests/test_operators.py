@@ -318,6 +318,30 @@ def test_reciprocal_pairs_cross_labels(spark, sf):
     assert len(ranked) == n * (len(ids) - n) and any(label[r.i] != label[r.j] for r in ranked)
 
 
+def test_reciprocal_neighbours_of_any_label(spark, tmp_path):
+    """The nearest have another label or none: no pair is left out for its label."""
+    rng = np.random.default_rng(11)
+    x = rng.random((60, 3))
+    rows = [(k, [float(v) for v in x[k]], k % 5 or None) for k in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = [set(np.argsort(((x - v) ** 2).sum(-1), kind="stable")[:7].tolist()) for v in x]
+    want = {(i, j) for i in range(60) for j in near[i] if i in near[j]}
+    assert any(rows[i][2] != rows[j][2] for i, j in want) and any(rows[i][2] is None for i, _ in want)
+    assert sorted((r.i, r.j) for r in catalogue.QUERIES["k_reciprocal_neighbors"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_reciprocal_neighbours_without_a_distance(spark, tmp_path):
+    """Vectors or elements that are missing: a pair without a common element is the furthest, as in the SQL."""
+    rng = random.Random(3)
+    rows = [(20 + k, [rng.choice([0.0, 0.5, 1.0]), rng.random()], k % 3) for k in range(12)]
+    rows += [(100, None, 1), (3, [0.5, None], 2), (101, [None, 0.5], None), (4, [0.5], 1), (5, [], 1), (102, [0.5, 0.1, 0.7], 2), (None, [0.5, 0.5], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = catalogue.QUERIES["k_reciprocal_neighbors"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLE_SQL["k_reciprocal_neighbors"]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["k_reciprocal_neighbors", "k_reciprocal_neighbors_all", "jaccard_rerank", "jaccard_rerank_all"])
 def test_reranking_of_copies_and_single_vectors(spark, tmp_path, name):
     """Labels of one vector or of copies only have no largest distance to divide by; vectors without a label meet nothing by label."""
